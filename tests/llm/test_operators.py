@@ -247,7 +247,9 @@ def test_near_duplicates_in_chains_and_large_groups(spark):
     assert got == brute_components(rows, 3, 85)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_links", [10**6, 50])
+def test_components(spark, monkeypatch, task_links):
+    monkeypatch.setattr(components, "TASK_LINKS", task_links)
     r = random.Random(8)
     links = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)]
     got = {x.node: x.component for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

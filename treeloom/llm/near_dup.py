@@ -16,8 +16,8 @@ from treeloom.runtime import cut, prepare
 #: Values of a band, and bands. A pair of similarity 0.85 shares no band with probability 6e-9, one of 0.8
 #: with 5e-6. Each permutation gives two values, so 120 are evaluated for 240 values.
 ROWS, BANDS = 6, 40
-#: Pairs between components in shared buckets that are verified one by one, per row of those buckets.
-PAIRS_A_ROW = 16
+#: Documents of a block that is held against another.
+TOGETHER = 512
 _rng = np.random.default_rng(20_260_101)
 _A = _rng.integers(0, 2**63, ROWS * BANDS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, ROWS * BANDS // 2, dtype=np.uint64)
@@ -75,14 +75,14 @@ def _sets(docs: DataFrame, ids: DataFrame, text: str, words: int) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"id": b.iloc[:, 0], "set": [shingles(t, words).view(np.int64) for t in b.iloc[:, 1]]})
 
-    own = docs.select("doc_id", text).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return own.mapInPandas(run, "id long, set array<long>").dropDuplicates(["id"])
+    own = docs.select("doc_id", text).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return own.mapInPandas(run, "id long, set array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets are similar enough."""
     pairs = cut(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(_sets(docs, ids, text, words), "sets")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     n = F.size("sa") + F.size("sb")
@@ -90,14 +90,81 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, words: int, percent:
     return cut(both.withColumn("i", common).filter(100 * F.col("i") >= percent * (n - F.col("i"))).select("a", "b"), "verified")
 
 
-def link_components(docs: DataFrame, *, text: str = "text", words: int = 5, percent: int = 80, rounds: int = 6) -> DataFrame:
+def _common_sizes(sets: DataFrame) -> DataFrame:
+    """(id, e): how many elements of each set some other set holds too."""
+    alone = sets.select("id", F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").count()
+    return sets.select("id", F.size("set").alias("_n")).join(alone, "id", "left").select("id", (F.col("_n") - F.coalesce("count", F.lit(0))).alias("e"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Of rows (band, id, n, component) those of bands with several components, with the band's least id."""
+    bands = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("pivot")).filter("lo < hi")
+    return rows.join(bands.select("band", "pivot"), "band")
+
+
+def _between_components(rest: DataFrame, docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
+    """(a, b): all links between different components of rest (band, id, n, component), whose members share
+    bands. Documents of which too large a part is found in no other one are out first. The others form
+    clusters, by shared bands; in a cluster all members but those of its largest component are held against
+    all members, in blocks: a task gets two blocks at a time and emits links alone."""
+    rest = cut(rest, "rest")
+    sets = cut(_sets(docs, rest.select("id").distinct(), text, words), "sets")
+    able = _common_sizes(sets).join(rest.select("id", "n").distinct(), "id").filter(100 * F.col("e") >= percent * F.col("n")).select("id")
+    rest = cut(_mixed(rest.join(able, "id", "left_semi")), "able")
+    clusters = components(rest.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
+    rows = rest.select("id", "n", "component").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+    rows = cut(rows, "clusters")
+    per = rows.groupBy("cluster", "component").count().groupBy("cluster")
+    sizes = per.agg(F.sum("count").alias("g"), F.max("count").alias("most"), F.max_by("component", F.struct("count", "component")).alias("largest"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / TOGETHER))
+    rows = rows.join(sizes, "cluster").withColumn("s", F.col("g") - F.col("most")).withColumn("nb", blocks("g")).withColumn("nq", blocks("s"))
+    own = F.xxhash64("id")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    members = rows.select("cluster", F.pmod(own, "nb").alias("b"), all_of("nq").alias("q"), F.lit(False).alias("asks"), "id", "component")
+    asking = rows.filter("component <> largest").select("cluster", all_of("nb").alias("b"), F.pmod(own, "nq").alias("q"), F.lit(True).alias("asks"), "id", "component")
+    dealt = members.unionByName(asking).join(sets, "id").repartition("cluster", "b", "q").sortWithinPartitions("cluster", "b", "q", "asks")
+
+    def links(held: list[tuple]) -> list[tuple[int, int]]:
+        members, asking = [r for r in held if not r[0]], [r for r in held if r[0]]
+        if not members or not asking:
+            return []
+        sizes = np.array([len(r[3]) for r in members])
+        ids, component = np.array([r[1] for r in members]), np.array([r[2] for r in members])
+        known, at = np.unique(np.concatenate([r[3] for r in members]), return_inverse=True)
+        starts, flag, out = np.r_[0, sizes.cumsum()[:-1]], np.zeros(len(known), np.int32), []
+        for _, x, own, s in asking:
+            k = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            k = k[known[k] == s]
+            flag[k] = 1
+            common = np.add.reduceat(flag[at], starts)
+            flag[k] = 0
+            near = (100 * common >= percent * (sizes + len(s) - common)) & (component != own)
+            out += [(max(x, y), min(x, y)) for y in ids[near].tolist()]
+        return out
+
+    def run(batches):
+        held, last = [], None
+        for b in batches:
+            out = []
+            for key, row in zip(zip(b["cluster"], b["b"], b["q"], strict=True), zip(b["asks"], b["id"], b["component"], b["set"], strict=True), strict=True):
+                if key != last:
+                    out += links(held)
+                    held, last = [], key
+                held.append(row)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(links(held), columns=["a", "b"], dtype="int64")
+
+    return cut(dealt.mapInPandas(run, "a long, b long"), "between")
+
+
+def link_components(docs: DataFrame, *, text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     Documents with equal shingle sets form a class; only the least id of a class is searched. In each
-    bucket of a band the members are compared with one of them. Members of buckets that still hold several
-    components are then compared with another one, for some rounds, and in the end every remaining pair of
-    members of different components is verified. So no pair that shares a bucket loses its link, and a
-    large group of near copies costs a few comparisons a member.
+    bucket of a band the members are compared with the least of them, which settles most. Where a bucket
+    still holds several components, all members of different ones are compared in blocks. So no pair that
+    shares a bucket loses its link, and a large group of near copies that hang together costs a comparison
+    a member.
 
     Null or empty text has no shingles and is linked with nothing. Rows that repeat a doc_id share its
     component. Null doc_ids keep a null component and are kept. Extra columns are ignored.
@@ -110,32 +177,14 @@ def link_components(docs: DataFrame, *, text: str = "text", words: int = 5, perc
     members = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     pivots = members.groupBy("band").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("m"), F.count("*").alias("size")).filter("size > 1")
     shared = cut(members.join(pivots, "band"), "shared")
-
-    def sized(a: str, b: str):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-    pairs = shared.filter((F.col("id") != F.col("pivot")) & sized("n", "m")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    pairs = shared.filter((F.col("id") != F.col("pivot")) & alike).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = _verified(pairs, docs, text, words, percent)
-    shared = shared.select("id", "n", "band")
-    for k in range(rounds + 1):
-        labels = components(links)
-        labelled = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(k))).alias("p")).filter("lo < hi")
-        rest = cut(labelled.join(mixed.select("band", "p"), "band"), "rest")
-        per = rest.groupBy("band", "component").count().groupBy("band").agg(F.sum("count").alias("g"), F.sum(F.col("count") * F.col("count")).alias("s"))
-        rows, cross = per.agg(F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum((F.col("g") * F.col("g") - F.col("s")) / 2), F.lit(0))).first()
-        if not rows:
-            break
-        last = k == rounds or cross <= PAIRS_A_ROW * rows
-        if last:
-            x, y = rest.select("band", "id", "n", "component"), rest.select("band", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            found = x.join(y, "band").filter((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & sized("n", "n2")).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-        else:
-            found = rest.filter((F.col("component") != F.col("p.component")) & sized("n", "p.n")).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-        links = cut(links.union(_verified(found, docs, text, words, percent)).distinct(), "links")
-        if last:
-            break
     labels = components(links)
+    labelled = shared.select("band", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    more = _between_components(_mixed(labelled).drop("pivot"), docs, text, words, percent)
+    # Stars of the components so far, and the links between them, make the final ones.
+    labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     of_class = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     # A class may have an id that another class holds too, if a doc_id repeats with other text.
     out = known.join(of_class, "set_hash").groupBy("doc_id").agg(F.min("component").alias("component"))
