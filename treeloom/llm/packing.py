@@ -7,7 +7,9 @@ place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
@@ -131,7 +133,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, *, text: str = "text"
     end = np.array([end_id], "<u4").tobytes()
 
     def packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        a = array("I", ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a.tobytes()
 
     def run(batches):
         cache = _caches.get(tokenizer_path)

@@ -15,7 +15,7 @@ from functools import lru_cache
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of a worker's cache before it starts anew, and the longest chunk that it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
 #: White space by any definition but space and newline, and runs of white space.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -49,6 +49,7 @@ class Cache(dict):
     def __init__(self, path: str, value, frequent: dict | None = None):
         super().__init__(frequent or {})
         self.encode, self.value, self.frequent = tokenizer(path).encode, value, frequent or {}
+        self.marks = {m: self.alone(m) for m in ".,"}
 
     def alone(self, text: str):
         return self.value(self.encode(text, add_special_tokens=False).ids)
@@ -56,8 +57,8 @@ class Cache(dict):
     def __missing__(self, chunk: str):
         if len(chunk) > CACHE_CHARS:
             return self.alone(chunk if chunk[0] == "\n" else " " + chunk)
-        if _TAIL.search(chunk):  # a letter and a mark never share a pre-token
-            got = self[chunk[:-1]] + self.alone(chunk[-1])
+        if chunk[-1:] in self.marks and _TAIL.search(chunk):  # a letter and a mark never share a pre-token
+            got = self[chunk[:-1]] + self.marks[chunk[-1]]
         else:
             got = self.alone(chunk if chunk[:1] == "\n" else " " + chunk)
         self[chunk] = got
