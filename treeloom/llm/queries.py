@@ -68,6 +68,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_minhash, op4_suffix_dedup, op5_line_dedup, op6_packing, op7_warc, op8_nearest, op9_lang_id, op10_decontamination)}
 
 ORACLE_SQL = {
+    "op5_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents
+        ), w AS (
+            SELECT doc_id, line, body, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS t FROM l
+        ), m AS (
+            SELECT *, len(t) AS n, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' || chr(1) ELSE x END) AS k FROM w WHERE len(t) >= 4
+        ), k AS (
+            SELECT doc_id, line, n, 0 AS kind, CASE WHEN 2 * len(list_filter(k, lambda x: x <> '*' || chr(1))) >= n THEN k ELSE t END AS key FROM m
+            UNION ALL SELECT doc_id, line, n, 1, k[1:3] || k[4:n:2] FROM m WHERE n >= 10
+            UNION ALL SELECT doc_id, line, n, 2, k[1:3] || k[5:n:2] FROM m WHERE n >= 10
+        ), v AS (
+            SELECT * FROM k WHERE kind = 0 OR 2 * len(list_filter(key, lambda x: x <> '*' || chr(1))) >= n
+        ), f AS (
+            SELECT n, kind, key, min(struct_pack(d := doc_id, l := line)) AS first FROM v GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3
+        ), g AS (
+            SELECT DISTINCT doc_id, line FROM v JOIN f USING (n, kind, key) WHERE struct_pack(d := doc_id, l := line) > first
+        ), s AS (
+            SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_dropped, coalesce(string_agg(body, chr(10) ORDER BY l.line) FILTER (g.line IS NULL), '') AS rest
+            FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY 1
+        )
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(rest, '')) AS kept_sha256 FROM documents d LEFT JOIN s USING (doc_id)""",
     "op7_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
