@@ -23,7 +23,7 @@ BATTERY_Z = 3.0
 #: Sum of squared symbol frequencies of ordinary identifiers, for small alphabets and for others.
 COINCIDENCE_SMALL, COINCIDENCE = 0.11, 0.066
 #: Share of false discoveries, least lengths of the classes in which it is controlled, bins a unit of z.
-FDR, LENGTHS, BINS, Z_LOW, Z_HIGH = 0.01, (20, 24, 32, 48, 96), 32, -12, 4
+FDR, LENGTHS, BINS, Z_LOW, Z_HIGH = 0.05, (20, 24, 32, 48, 96), 32, -12, 4
 
 HEX16 = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
