@@ -23,9 +23,9 @@ from treeloom.runtime import cut, prepare
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a text that are hashed at once, context bytes of a block, contexts of a run that share a block.
-SEGMENT, BLOCK_BYTES, TOGETHER = 1 << 20, 1 << 20, 512
-#: Bytes by which intervals are extended at a time; divides LENGTH.
-STEP = 4
+SEGMENT, BLOCK_BYTES, TOGETHER = 1 << 20, 1 << 20, 2048
+#: Bytes of a letter, by which intervals are extended; LENGTH is a power of two times it.
+STEP = 25
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 ANCHORS = "doc_id long, pos int, hi int, h long, c long"
@@ -107,18 +107,15 @@ def common_strings(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, ste
     """(sa, interval): places of text in the order of their suffixes, and for each the first row of the
     interval of suffixes that share its first length bytes; -1 where fewer remain before ends[place].
 
-    Rows of equal strings are neighbours in that order. nxt leads from a row to the row of the suffix that
-    starts step bytes later, the inverse of a backward step of the transform. An interval of level l + step
-    is what a backward step, by the same step bytes, makes of one interval of level l.
+    Letters are words of step bytes, by their hash; suffixes are ordered by these letters, so that rows of
+    strings that share some letters are neighbours. nxt leads from a row to the row of the suffix that
+    starts a letter later, the inverse of a backward step of the transform. An interval of l + 1 letters is
+    what a backward step, by the same letter, makes of one interval of l letters.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : n + i].astype(np.uint64)
-    first = (key >> np.uint64(64 - 8 * step)).astype(np.int64)
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    known = 8
+    padded = np.concatenate([text, np.zeros(step - 1, np.uint8)])
+    letter = np.unique(Hashes(padded).all(step), return_inverse=True)[1].astype(np.int64)
+    rank, known = letter, step
     while known < length:
         later = np.zeros(n, np.int64)
         later[: max(0, n - known)] = rank[known:] + 1
@@ -128,7 +125,7 @@ def common_strings(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, ste
     row = np.empty(n, np.int64)
     row[sa] = np.arange(n)
     nxt = row[np.minimum(sa + step, n - 1)]
-    before = first[sa]
+    before = letter[sa]
     edge = np.r_[True, before[1:] != before[:-1]]
     rows = np.arange(n)
     interval = np.maximum.accumulate(np.where(edge, rows, 0))
@@ -140,9 +137,9 @@ def common_strings(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, ste
     return sa, np.where(ends[sa] - sa >= length, interval, -1)
 
 
-def _block(parts: list[tuple], length: int) -> tuple[list, list]:
+def _block(parts: list[tuple], length: int) -> tuple[list, pd.DataFrame | None]:
     """parts: (wide, doc_id, lo, context). (removed intervals (doc_id, lo, hi), first strings of wide runs
-    (x, y, doc_id, start), x and y their hash)."""
+    with x and y, their hash)."""
     sizes = np.array([len(p[3]) for p in parts])
     text = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
     ends = np.repeat(sizes.cumsum(), sizes)
@@ -158,7 +155,7 @@ def _block(parts: list[tuple], length: int) -> tuple[list, list]:
         least = np.repeat(np.minimum.reduceat(order, edges), np.diff(np.r_[edges, len(cls)]))
         removed[at[order > least]] = True
     gone = np.flatnonzero(removed)
-    out, firsts = [], []
+    out, firsts = [], None
     if len(gone):
         cuts = np.flatnonzero((np.diff(gone) > 1) | (ends[gone[1:]] != ends[gone[:-1]])) + 1
         for run in np.split(gone, cuts):
@@ -170,7 +167,7 @@ def _block(parts: list[tuple], length: int) -> tuple[list, list]:
     own = np.flatnonzero(keep)
     if len(own):
         x, y = (mix(Hashes(text, b).of(own, own + length)).view(np.int64) for b in _BASES)
-        firsts = list(zip(x.tolist(), y.tolist(), docs[place[own] >> 32].tolist(), start[own].tolist(), strict=True))
+        firsts = pd.DataFrame({"x": x, "y": y, "doc_id": docs[place[own] >> 32], "lo": start[own]})
     return out, firsts
 
 
@@ -182,18 +179,21 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
 
         def rows(parts):
             out, firsts = _block(parts, length)
-            return pd.DataFrame([(None, None, d, lo, hi) for d, lo, hi in out] + [(x, y, d, s, None) for x, y, d, s in firsts], columns=["x", "y", "doc_id", "lo", "hi"]).astype({"x": "Int64", "y": "Int64", "doc_id": "int64", "lo": "int64", "hi": "Int64"})
+            kinds = {"x": "Int64", "y": "Int64", "doc_id": "int64", "lo": "int64", "hi": "Int64"}
+            yield pd.DataFrame([(None, None, *x) for x in out], columns=list(kinds)).astype(kinds)
+            if firsts is not None:
+                yield firsts.assign(hi=None).astype(kinds)
 
         for b in batches:
             for h, part, wide, doc, lo, context in zip(*(b[c] for c in ("h", "part", "wide", "doc_id", "lo", "context")), strict=True):
                 if size >= BLOCK_BYTES // 2 and (h, part) != last:
-                    yield rows(held)
+                    yield from rows(held)
                     held, size = [], 0
                 held.append((wide, doc, lo, bytes(context)))
                 size += len(context)
                 last = (h, part)
         if held:
-            yield rows(held)
+            yield from rows(held)
 
     return contexts.mapInPandas(run, "x long, y long, doc_id long, lo long, hi long")
 
