@@ -42,7 +42,7 @@ def copy(spark: SparkSession, source: str, dest: str, options: Options = Options
     m = build(spark, source, **build_keys)
     if not m.model["files"]:
         raise ValueError(f"{source} holds no files")
-    return applying.apply(spark, m, source, dest, options, **how)
+    return applying.apply(spark, m, source, dest, options, pin=build_keys.get("pin"), **how)
 
 
 def sync(spark: SparkSession, source: str, dest: str, options: Options = Options(delete=True), **how) -> dict:

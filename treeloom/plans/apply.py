@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeloom.functions.chunking import Options as ChunkOptions
+from treeloom.functions.chunking import guessed_role, options_column
 from treeloom.manifests import Manifest
+from treeloom.operators.layout import role_rank
 from treeloom.plans import delta
 from treeloom.runtime import cut, prepare
 from treeloom.schemas import CHUNKS, MANIFEST_NAME, STAGE_DIR, STATE_DIR
@@ -30,7 +33,7 @@ def stage_root(dest: str) -> str:
     return os.path.join(dest, STATE_DIR, STAGE_DIR)
 
 
-def inspect(spark: SparkSession, wanted: Manifest, dest: str, options: delta.Options) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def inspect(spark: SparkSession, wanted: Manifest, dest: str, options: delta.Options, pin: ChunkOptions | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(destination files, their chunks, staged chunks). Only candidates are read. Nothing is written; a
     destination that is not there is empty. A file of the manifest that can't be read fails the plan."""
     if not os.path.isdir(dest):
@@ -38,10 +41,8 @@ def inspect(spark: SparkSession, wanted: Manifest, dest: str, options: delta.Opt
         return none.withColumn("digest", F.lit(None).cast("binary")), spark.createDataFrame([], CHUNKS), None
     found = cut(tree.entries(tree.scan(spark, dest, hidden=True, follow=False)), "dest")
     ask = delta.candidates(found, wanted.files, options)
-    from treeloom.functions.chunking import guessed_role, options_column
-
     sizes = wanted.files.select("path", "chunker")
-    guess = options_column(guessed_role(F.col("size")), F.col("size"))
+    guess = options_column(guessed_role(F.col("size")), F.col("size"), pin)
     own = ask.join(sizes, "path", "left").select("path", "size", *[F.coalesce(F.when(F.col(f"chunker.{k}") > 0, F.col(f"chunker.{k}")), guess[k]).alias(k) for k in ("avg_size", "min_size", "max_size")])
     hashed = cut(tree.hash_files(own, dest, algorithm=wanted.algorithm), "dest-hashed")
     failed = hashed.filter("error is not null").join(wanted.files.select("path"), "path", "left_semi").select("path", "error").head()
@@ -59,9 +60,9 @@ def inspect(spark: SparkSession, wanted: Manifest, dest: str, options: delta.Opt
     return files, hashed.filter("chunk_idx >= 0 and error is null").drop("error"), staged
 
 
-def make_plan(spark: SparkSession, wanted: Manifest, dest: str, options: delta.Options) -> delta.Plan:
+def make_plan(spark: SparkSession, wanted: Manifest, dest: str, options: delta.Options, pin: ChunkOptions | None = None) -> delta.Plan:
     wanted.validate()
-    return delta.plan(wanted.files, wanted.chunks, *inspect(spark, wanted, dest, options), options)
+    return delta.plan(wanted.files, wanted.chunks, *inspect(spark, wanted, dest, options, pin), options)
 
 
 def assemble(p: delta.Plan, wanted: Manifest, source: str, dest: str) -> DataFrame:
@@ -155,22 +156,20 @@ def clean_stage(dest: str) -> None:
             continue
 
 
-def apply(spark: SparkSession, wanted: Manifest, source: str, dest: str, options: delta.Options = delta.Options(), *, preserve_times: bool = True, dry_run: bool = False) -> dict:
+def apply(spark: SparkSession, wanted: Manifest, source: str, dest: str, options: delta.Options = delta.Options(), *, pin: ChunkOptions | None = None, preserve_times: bool = True, dry_run: bool = False) -> dict:
     """Makes dest hold the wanted files. Returns totals, and errors by path.
 
     Files are replaced in transfer order after they have been verified; with atomic "model" only if all
     were. Extra files are deleted if asked, hidden and excluded ones too, as the plan lists them.
     """
     require_apart(source, dest)
-    p = make_plan(spark, wanted, dest, options)
+    p = make_plan(spark, wanted, dest, options, pin)
     p = delta.Plan(cut(p.files, "plan-files"), cut(p.chunks, "plan-chunks"), cut(p.deletes, "plan-deletes"), cut(p.locations, "plan-locations"))
     out = p.totals.first().asDict()
     if dry_run:
         return out | {"errors": {}}
     os.makedirs(dest, exist_ok=True)
     results = cut(assemble(p, wanted, source, dest), "results")
-    from treeloom.operators.layout import role_rank
-
     meta = wanted.files.select("path", "mode", "mtime_ns", role_rank(F.col("role")).alias("_rank"))
     errors = {r["path"]: r["error"] for r in results.filter("error is not null").toLocalIterator()}
     written = 0
