@@ -77,7 +77,15 @@ def test_build_and_codecs(spark, source, tmp_path):
         with pytest.raises(ValueError):
             codec.decode_binary(bad)
     assert codec.decode(data)["files"] == d["files"]
+    from treeloom.sources.manifest_table import read_json_manifests, read_manifests
+
+    cols = ["path", "size", "chunk_idx", "offset", "length", "digest"]
+    both = read_manifests(spark, str(tmp_path / "m.*"))
+    assert both.select("manifest").distinct().count() == 2 and both.count() == 2 * (m.chunks.count() + 1)
+    assert rows(read_json_manifests(spark, str(tmp_path / "m.json")).select(cols).filter("chunk_idx is not null")) == rows(both.filter("manifest like '%.mmm' and chunk_idx is not null").select(cols))
     sha = build(spark, str(source), pin=PIN, algorithm="sha256").validate()
+    with pytest.raises(ValueError):
+        api.save_manifest(sha, str(tmp_path / "sha.mmm"))
     assert sha.chunks.count() == m.chunks.count() and sha.model["digest"] != m.model["digest"]
 
 

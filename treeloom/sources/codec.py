@@ -151,6 +151,8 @@ def _ns(said: str) -> int:
 
 def encode_binary(m: dict, dialect: Dialect = Dialect()) -> bytes:
     """Offsets, totals and extra are not stored; a BLAKE3 of all before it ends the bytes."""
+    if m.get("hash") != dialect.hash:
+        raise ValueError(f"the binary form holds {dialect.hash} digests alone, not {m.get('hash')!r}")
     w = _Writer()
     w.raw(dialect.magic + bytes([VERSION, 1, 1, 0]))
     w.varint(m["created_ns"] // 10**9)
