@@ -74,7 +74,7 @@ def drop_recurring_lines(docs: DataFrame, *, text: str = "text", documents: int
     recurring = lines.groupBy("template").agg(F.sum(F.col("new").cast("long")).alias("n"), first).filter(F.col("n") >= documents)
     gone = lines.join(recurring, "template").filter(F.struct("doc_id", "line") > F.col("first"))
     gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    out = docs.join(gone.withColumnRenamed("doc_id", "_doc"), docs["doc_id"] == F.col("_doc"), "left")
+    out = docs.join(gone.withColumnRenamed("doc_id", "_doc").hint("merge"), docs["doc_id"] == F.col("_doc"), "left")
     parts = F.split(docs[text], "\n", -1)
     rest = F.when(F.col("_gone").isNull(), docs[text]).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
     n = F.when(docs[text].isNull(), 0).otherwise(F.length(docs[text]) - F.length(F.replace(docs[text], F.lit("\n"), F.lit(""))) + 1).cast("long")

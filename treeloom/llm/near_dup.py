@@ -18,6 +18,8 @@ from treeloom.runtime import cut, prepare
 ROWS, BANDS = 6, 40
 #: Documents of a block that is held against another.
 TOGETHER = 512
+#: Bits of the broadcast bitmap of candidates: one megabyte.
+MARKS = 1 << 23
 _rng = np.random.default_rng(20_260_101)
 _A = _rng.integers(0, 2**63, ROWS * BANDS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, ROWS * BANDS // 2, dtype=np.uint64)
@@ -69,14 +71,20 @@ def _signatures(docs: DataFrame, text: str, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, text: str, words: int) -> DataFrame:
-    """(id, set) of the representatives in ids."""
+    """(id, set) of the documents in ids, and of a few others. Texts are not shuffled: a bitmap of hashed ids
+    with MARKS bits, so of a fixed size, is broadcast, and tells which rows to look at. Where ids are so
+    many that it fills up, more rows pass; joins on id leave them out."""
 
     def run(batches):
         for b in batches:
             yield pd.DataFrame({"id": b.iloc[:, 0], "set": [shingles(t, words).view(np.int64) for t in b.iloc[:, 1]]})
 
-    own = docs.select("doc_id", text).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.mapInPandas(run, "id long, set array<long>")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    marks = ids.groupBy(F.bitmap_bucket_number(place("id")).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("id"))).alias("_bits"))
+    own = docs.filter("doc_id is not null").select("doc_id", text, F.bitmap_bucket_number(place("doc_id")).alias("_bucket"), F.bitmap_bit_position(place("doc_id")).alias("_at"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    seen = own.join(F.broadcast(marks), "_bucket").filter(byte.bitwiseAND(F.pow(F.lit(2), F.col("_at") % 8).cast("int")) != 0)
+    return seen.select("doc_id", text).mapInPandas(run, "id long, set array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
@@ -84,7 +92,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, words: int, percent:
     pairs = cut(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(_sets(docs, ids, text, words), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    # Merge joins at every size: the plan, and what it shuffles, doesn't hinge on a threshold.
+    both = pairs.hint("merge").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    both = both.hint("merge").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     n = F.size("sa") + F.size("sb")
     common = F.size(F.array_intersect("sa", "sb"))
     return cut(both.withColumn("i", common).filter(100 * F.col("i") >= percent * (n - F.col("i"))).select("a", "b"), "verified")
@@ -122,7 +132,7 @@ def _between_components(rest: DataFrame, docs: DataFrame, text: str, words: int,
     all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     members = rows.select("cluster", F.pmod(own, "nb").alias("b"), all_of("nq").alias("q"), F.lit(False).alias("asks"), "id", "component")
     asking = rows.filter("component <> largest").select("cluster", all_of("nb").alias("b"), F.pmod(own, "nq").alias("q"), F.lit(True).alias("asks"), "id", "component")
-    dealt = members.unionByName(asking).join(sets, "id").repartition("cluster", "b", "q").sortWithinPartitions("cluster", "b", "q", "asks")
+    dealt = members.unionByName(asking).hint("merge").join(sets, "id").repartition("cluster", "b", "q").sortWithinPartitions("cluster", "b", "q", "asks")
 
     def links(held: list[tuple]) -> list[tuple[int, int]]:
         members, asking = [r for r in held if not r[0]], [r for r in held if r[0]]
