@@ -21,6 +21,8 @@ from treeloom.runtime import new_path, prepare
 
 #: Compressed bytes after which a file is closed, and least payload bytes that a revisit may stand for.
 FILE_BYTES, LEAST_REVISIT = 64 << 20, 100
+#: Compressed bytes that one task reads back.
+TASK_BYTES = 256 << 20
 WRITTEN = "range_id long, shard int, temp string, name string, records long, bytes long, sha256 string"
 PARSED = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -54,12 +56,12 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_digest, payload_bytes, refers_to of each row of pages."""
+def plan_revisits(pages: DataFrame) -> DataFrame:
+    """page_id, payload_digest, refers_to of the rows whose payload an earlier page_id has. Without payloads."""
     html = F.coalesce(pages["html"], F.lit(""))
-    p = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    same = p.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return p.join(same, "payload_digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id"))).drop("first_id")
+    p = pages.filter(F.octet_length(html) >= LEAST_REVISIT).select("page_id", F.sha2(html.cast("binary"), 256).alias("payload_digest"))
+    same = p.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return p.join(same, "payload_digest").filter(F.col("page_id") > F.col("refers_to")).select("page_id", "payload_digest", "refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, path: str, *, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -70,17 +72,19 @@ def write_warc(pages: DataFrame, path: str, *, file_bytes: int = FILE_BYTES) ->
     manifest. Other columns are ignored.
     """
     spark = prepare(pages.sparkSession)
-    p = plan_records(pages)
     n, total, low, high = pages.agg(F.count("*"), F.sum(F.octet_length("html")), F.min("page_id"), F.max("page_id")).first()
     # Ranges of about a file's worth of html, and some 64 where there is less; ids a range: a power of two.
     ranges = max(1, -(-(total or 0) // file_bytes), min(64, n // 256))
     ids = 1 << max(0, ((high or 0) - (low or 0)) // ranges).bit_length()
-    keyed = p.withColumn("range_id", F.floor(F.col("page_id") / ids))
-    rows = keyed.repartition(F.col("range_id")).sortWithinPartitions("range_id", "page_id", "payload_digest", "url")
+    html = F.coalesce(pages["html"], F.lit(""))
+    p = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
+    # The plan travels as rows of its own, each before the pages that it is of: payloads move once.
+    revisits = plan_revisits(pages).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "payload_digest", "refers_to", F.lit(0).alias("kind"))
+    keyed = p.unionByName(revisits).withColumn("range_id", F.floor(F.col("page_id") / ids))
+    rows = keyed.repartition(F.col("range_id")).sortWithinPartitions("range_id", "page_id", "payload_digest", "kind", "url")
 
     def run(batches):
-        files, root = {}, None
-        out = None
+        files, root, out, planned = None, None, None, (None, None, None)
 
         def close():
             out["file"].close()
@@ -88,8 +92,12 @@ def write_warc(pages: DataFrame, path: str, *, file_bytes: int = FILE_BYTES) ->
 
         for b in batches:
             done = []
-            for page, url, html, digest, refers, rng in zip(*(b[c] for c in ("page_id", "url", "html", "payload_digest", "refers_to", "range_id")), strict=True):
-                rng, page, refers = (-1 if pd.isna(rng) else int(rng)), (None if pd.isna(page) else int(page)), (None if pd.isna(refers) else int(refers))
+            for page, url, html, digest, refers, kind, rng in zip(*(b[c] for c in ("page_id", "url", "html", "payload_digest", "refers_to", "kind", "range_id")), strict=True):
+                rng, page = (-1 if pd.isna(rng) else int(rng)), (None if pd.isna(page) else int(page))
+                if kind == 0:
+                    planned = page, digest, int(refers)
+                    continue
+                refers = planned[2] if planned[:2] == (page, digest) else None
                 if out is None or out["range"] != rng or out["bytes"] >= file_bytes:
                     shard = out["shard"] + 1 if out and out["range"] == rng else 0
                     if out:
@@ -156,6 +164,8 @@ def parse(record: bytes) -> tuple:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives that path's manifest lists, in PARSED's columns."""
     names = spark.read.schema(WRITTEN.replace("temp string, ", "")).parquet(f"{path}/manifest").select("name", "bytes")
+    n, total = names.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, -(-total // TASK_BYTES) + spark.sparkContext.defaultParallelism))
 
     def run(batches):
         files, root = _fs(path)
@@ -172,7 +182,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _frame(rows)
 
-    return names.repartition(F.col("name")).mapInPandas(run, PARSED)
+    return names.repartition(tasks, "name").mapInPandas(run, PARSED)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
