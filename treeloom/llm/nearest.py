@@ -22,7 +22,7 @@ from treeloom.runtime import cut, prepare
 
 #: Projections, share of them that must collide, share of a block verified besides the neighbours, first
 #: half-width of the windows and its growth, radius in units of a distance at which its collisions are due.
-PROJECTIONS, COLLISIONS, SHARE, RADIUS, GROWTH, SURE = 48, 0.85, 0.02, 0.2, 1.3, 2.0
+PROJECTIONS, COLLISIONS, SHARE, RADIUS, GROWTH, SURE = 48, 0.85, 0.15, 0.2, 1.3, 2.0
 #: Vectors of a block, and queries that meet it at once.
 BLOCK, QUERIES = 4096, 1024
 RESULT = "query_id long, vec_id long, score double"
