@@ -347,6 +347,14 @@ def test_line_templates(spark):
     assert all(len(got[i]) == 1 and got[i][0].startswith("own") for i in (1, 2, 3))
 
 
+def test_short_lines(spark):
+    short = ["Les.", "All rights reserved.", "版权所有，未经许可不得转载。", "Page 3"]
+    rows = [(i, "\n".join([f"own{i}", "", *short, f"Page {10 + i}"])) for i in range(4)]
+    got = {r.doc_id: (r.n_dropped, r.text.split("\n")) for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (0, ["own0", "", *short, "Page 10"])
+    assert all(got[i] == (4, [f"own{i}", "", f"Page {10 + i}"]) for i in (1, 2, 3))
+
+
 def test_warc(spark, tmp_path):
     same = "<html>" + "é" * 100
     rows = [(5, "http://a/5", same), (2, None, same), (9, "http://a/9 x", same), (2, "http://a/2", same), (1, "u", ""), (3, "u", None), (4, "u", "short"), (6, "u", "short"), (7, "u", "\r\n\r\nWARC/1.1\r\n\x00" * 9), (None, "u", "null id")] + [(100 + i, f"u{i}", f"page {i} " * 300) for i in range(700)]

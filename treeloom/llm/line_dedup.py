@@ -1,8 +1,9 @@
 """Line dedup by a fixed-depth template tree.
 
 A line goes down the tree by its number of tokens and its first tokens. Tokens with a digit are variable
-fields. In a leaf a line belongs to its literal template (all fixed tokens) and, where it is long enough,
-to two looser ones that fix every other token and generalise those between. So a line that differs from
+fields, in lines of four tokens or more. In a leaf a line belongs to its literal template (all fixed tokens)
+and, where it is long enough, to two looser ones that fix every other token and generalise those between.
+Shorter lines have their literal template alone; blank lines have none and stay. So a line that differs from
 others in fields of one parity, whatever they hold, shares a template with them. Templates depend on the
 line alone, not on the order of lines, and are counted by a plain aggregation.
 """
@@ -18,18 +19,18 @@ from pyspark.sql import functions as F
 
 from treeloom.runtime import cut, prepare
 
-#: Leading tokens of the tree, least tokens of a template and of a looser one, documents that make it recur.
+#: Leading tokens of the tree, least tokens of a line with variable fields and of a looser template, documents that make it recur.
 DEPTH, LEAST, LOOSE, DOCUMENTS = 3, 4, 10, 3
 _DIGIT = re.compile(rb"[0-9]")
 
 
 def templates(line: str, depth: int = DEPTH, least: int = LEAST, loose: int = LOOSE) -> list[int]:
-    """Signed 64-bit ids of the line's templates; none for lines of fewer than least tokens."""
+    """Signed 64-bit ids of the line's templates; none for blank lines only."""
     tokens = line.encode("utf-8", "surrogatepass").split()
     n = len(tokens)
-    if n < least:
+    if not n:
         return []
-    masked = [b"\0" if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line.encode("utf-8", "surrogatepass")) else tokens
+    masked = [b"\0" if _DIGIT.search(t) else t for t in tokens] if n >= least and _DIGIT.search(line.encode("utf-8", "surrogatepass")) else tokens
     fixed = [(0, masked if 2 * sum(t != b"\0" for t in masked) >= n else tokens)]  # mostly fields: only itself
     if n >= loose:
         for first in (0, 1):
