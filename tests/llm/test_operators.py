@@ -355,6 +355,13 @@ def test_short_lines(spark):
     assert all(got[i] == (4, [f"own{i}", "", f"Page {10 + i}"]) for i in (1, 2, 3))
 
 
+def test_lines_of_two_documents(spark):
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(1, f"own one\n{long}\ntwice here\ntwice here"), (2, f"own two\n{long}"), (3, "own three")]
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["own one", long, "twice here", "twice here"], 2: ["own two"], 3: ["own three"]}
+
+
 def test_warc(spark, tmp_path):
     same = "<html>" + "é" * 100
     rows = [(5, "http://a/5", same), (2, None, same), (9, "http://a/9 x", same), (2, "http://a/2", same), (1, "u", ""), (3, "u", None), (4, "u", "short"), (6, "u", "short"), (7, "u", "\r\n\r\nWARC/1.1\r\n\x00" * 9), (None, "u", "null id")] + [(100 + i, f"u{i}", f"page {i} " * 300) for i in range(700)]

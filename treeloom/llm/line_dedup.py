@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from treeloom.runtime import cut, prepare
 
 #: Leading tokens of the tree, least tokens of a line with variable fields and of a looser template, documents that make it recur.
-DEPTH, LEAST, LOOSE, DOCUMENTS = 3, 4, 10, 3
+DEPTH, LEAST, LOOSE, DOCUMENTS = 3, 4, 10, 2
 _DIGIT = re.compile(rb"[0-9]")
 
 
