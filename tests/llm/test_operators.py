@@ -362,6 +362,24 @@ def test_lines_of_two_documents(spark):
     assert got == {1: ["own one", long, "twice here", "twice here"], 2: ["own two"], 3: ["own three"]}
 
 
+def test_line_fields(spark):
+    names = ["Anna Berg", "Carl Dorn", "Eva Falk", "Gert Holm"]
+    rows = [
+        (i, f"Posted by {n.split()[0]} in News\nthis page of our small site was last changed by {n} and all of it may be read\nPosted by the staff {'abcd'[i]}{i % 2}\nvery own {n} {n}")
+        for i, n in enumerate(names)
+    ]
+    rows += [(10, "Posted by nobody at all\nI like the dog"), (11, "I like the cat")]
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got[0]) == 4
+    assert all(got[i] == [f"very own {names[i]} {names[i]}"] for i in (1, 2, 3))
+    assert got[10] == rows[4][1].split("\n") and got[11] == ["I like the cat"]
+
+
+def test_line_groups():
+    rows = np.array([[1, 2, 3, 4, 5], [1, 2, 9, 4, 5], [1, 2, 8, 4, 5], [1, 2, 7, 6, 3], [1, 2, 3, 8, 9]], dtype="uint64")
+    assert [sorted(g.tolist()) for g in line_dedup.groups(rows)] == [[0, 1, 2]]
+
+
 def test_warc(spark, tmp_path):
     same = "<html>" + "é" * 100
     rows = [(5, "http://a/5", same), (2, None, same), (9, "http://a/9 x", same), (2, "http://a/2", same), (1, "u", ""), (3, "u", None), (4, "u", "short"), (6, "u", "short"), (7, "u", "\r\n\r\nWARC/1.1\r\n\x00" * 9), (None, "u", "null id")] + [(100 + i, f"u{i}", f"page {i} " * 300) for i in range(700)]

@@ -6,12 +6,18 @@ and, where it is long enough, to two looser ones that fix every other token and
 Shorter lines have their literal template alone; blank lines have none and stay. So a line that differs from
 others in fields of one parity, whatever they hold, shares a template with them. Templates depend on the
 line alone, not on the order of lines, and are counted by a plain aggregation.
+
+Other fields are found where lines differ: the distinct literal templates of four tokens or more that share
+their number of tokens and the first two are divided, by the values of the place that has the fewest, until
+a group agrees in enough places (half of them; two thirds in lines of fewer than ten tokens). All places that
+vary in a group are then fields, and its lines are of one template.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,6 +30,15 @@ DEPTH, LEAST, LOOSE, DOCUMENTS = 3, 4, 10, 2
 _DIGIT = re.compile(rb"[0-9]")
 
 
+def _fixed(tokens: list[bytes], least: int) -> list[bytes]:
+    """The tokens of the literal template: variable fields are zero bytes, unless they are the most."""
+    n = len(tokens)
+    if n < least:
+        return tokens
+    masked = [b"\0" if _DIGIT.search(t) else t for t in tokens]
+    return masked if 2 * sum(t != b"\0" for t in masked) >= n else tokens
+
+
 def templates(line: str, depth: int = DEPTH, least: int = LEAST, loose: int = LOOSE) -> list[int]:
     """Signed 64-bit ids of the line's templates; none for blank lines only."""
     tokens = line.encode("utf-8", "surrogatepass").split()
@@ -40,24 +55,107 @@ def templates(line: str, depth: int = DEPTH, least: int = LEAST, loose: int = LO
     return [xxhash.xxh3_64_intdigest(b" ".join(f), seed=3 * n + i) - 2**63 for i, f in fixed]
 
 
+def _leaf(line: str, depth: int, least: int) -> int | None:
+    """Id of the place in the tree where the line's fields are looked for; none for fewer than least tokens."""
+    tokens = line.encode("utf-8", "surrogatepass").split()
+    if len(tokens) < least:
+        return None
+    return xxhash.xxh3_64_intdigest(b" ".join(_fixed(tokens, least)[: depth - 1]), seed=len(tokens)) - 2**63
+
+
+def groups(values: np.ndarray, loose: int = LOOSE) -> list[np.ndarray]:
+    """Row numbers of the groups of two or more of the distinct rows of a leaf; 0 is a variable field."""
+    n = values.shape[1]
+    todo, found = [np.arange(len(values))], []
+    while todo:
+        rows = todo.pop()
+        own = values[rows]
+        kinds = 1 + (np.diff(np.sort(own, axis=0), axis=0) != 0).sum(axis=0)
+        agree = int(((kinds == 1) & (own[0] != 0)).sum())
+        if (2 * agree >= n) if n >= loose else (3 * agree >= 2 * n):
+            found.append(rows)
+            continue
+        at = own[:, np.where(kinds > 1, kinds, len(rows) + 1).argmin()]
+        order = np.argsort(at, kind="stable")
+        ends = np.flatnonzero(np.diff(at[order])) + 1
+        todo += [part for part in np.split(rows[order], ends) if len(part) > 1]
+    return found
+
+
 def _lines(docs: DataFrame, text: str, depth: int, least: int, loose: int) -> DataFrame:
-    """doc_id, line, template, new: whether it is the document's first line of the template."""
+    """doc_id, line, template, new (whether it is the document's first line of the template), leaf (of literal templates)."""
 
     def run(batches):
         for b in batches:
-            ids, lines, keys, new = [], [], [], []
+            ids, lines, keys, new, leaves = [], [], [], [], []
             for doc, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
                 seen: set[int] = set()
                 for i, line in enumerate((t or "").split("\n")):
-                    for k in templates(line, depth, least, loose):
+                    for kind, k in enumerate(templates(line, depth, least, loose)):
                         ids.append(doc)
                         lines.append(i)
                         keys.append(k)
                         new.append(k not in seen)
+                        leaves.append(None if kind else _leaf(line, depth, least))
                         seen.add(k)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "line": pd.Series(lines, dtype="int32"), "template": pd.Series(keys, dtype="int64"), "new": pd.Series(new, dtype="bool")})
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "line": pd.Series(lines, dtype="int32"), "template": pd.Series(keys, dtype="int64"), "new": pd.Series(new, dtype="bool"), "leaf": pd.Series(leaves, dtype="Int64")})
 
-    return docs.select("doc_id", text).filter("doc_id is not null").mapInPandas(run, "doc_id long, line int, template long, new boolean")
+    return docs.select("doc_id", text).filter("doc_id is not null").mapInPandas(run, "doc_id long, line int, template long, new boolean, leaf long")
+
+
+def _fields(docs: DataFrame, lines: DataFrame, text: str, depth: int, least: int, loose: int) -> DataFrame:
+    """template, cluster, short: the group of each literal template that shares its fixed places with others."""
+    literal = lines.filter("leaf is not null")
+    shared = literal.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b")).filter("a <> b").select("leaf")
+    first = F.min(F.struct("doc_id", "line")).alias("first")
+    members = literal.groupBy("template").agg(F.max("leaf").alias("leaf"), first).join(shared, "leaf")
+    held = members.groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "template", "leaf")).alias("_held"))
+
+    def take(batches):
+        for b in batches:
+            keys, leaves, values = [], [], []
+            for t, held in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
+                parts = (t or "").split("\n")
+                for h in held:
+                    line = parts[h["line"]] if h["line"] < len(parts) else ""
+                    # rows may repeat a doc_id: only the one that has this line tells of it
+                    if (templates(line, depth, least, loose) or [None])[0] != h["template"]:
+                        continue
+                    fixed = _fixed(line.encode("utf-8", "surrogatepass").split(), least)
+                    keys.append(h["template"])
+                    leaves.append(h["leaf"])
+                    values.append(np.array([0 if x == b"\0" else xxhash.xxh3_64_intdigest(x) | 1 for x in fixed], dtype="uint64").tobytes())
+            yield pd.DataFrame({"template": pd.Series(keys, dtype="int64"), "leaf": pd.Series(leaves, dtype="int64"), "fixed": pd.Series(values, dtype="object")})
+
+    def divide(batches):
+        def leaf_rows(keys, values):
+            lengths = [len(v) for v in values]
+            for size in sorted(set(lengths)):  # one length, but for a collision of leaf ids
+                at = [i for i, x in enumerate(lengths) if x == size]
+                matrix = np.frombuffer(b"".join(values[i] for i in at), dtype="uint64").reshape(len(at), -1)
+                for rows in groups(matrix, loose) if len(at) > 1 else ():
+                    of = [keys[at[r]] for r in rows]
+                    yield from ((k, min(of), size // 8 < loose) for k in of)
+
+        def table(rows):
+            return pd.DataFrame({"template": pd.Series([r[0] for r in rows], dtype="int64"), "cluster": pd.Series([r[1] for r in rows], dtype="int64"), "short": pd.Series([r[2] for r in rows], dtype="bool")})
+
+        leaf, keys, values = None, [], []
+        for b in batches:
+            out = []
+            for k, f, v in zip(b["template"], b["leaf"], b["fixed"], strict=True):
+                if f != leaf:
+                    out += leaf_rows(keys, values)
+                    leaf, keys, values = f, [], []
+                if not keys or keys[-1] != k:  # rows that repeat a doc_id and its text
+                    keys.append(k)
+                    values.append(v)
+            yield table(out)
+        yield table(list(leaf_rows(keys, values)))
+
+    texts = docs.select(F.col("doc_id"), F.col(text).alias("_text")).join(held.hint("merge"), F.col("doc_id") == F.col("_doc")).select("_text", "_held")
+    fixed = texts.mapInPandas(take, "template long, leaf long, fixed binary")
+    return fixed.repartition("leaf").sortWithinPartitions("leaf", "template").mapInPandas(divide, "template long, cluster long, short boolean")
 
 
 def drop_recurring_lines(docs: DataFrame, *, text: str = "text", documents: int = DOCUMENTS, depth: int = DEPTH, least: int = LEAST, loose: int = LOOSE) -> DataFrame:
@@ -67,13 +165,21 @@ def drop_recurring_lines(docs: DataFrame, *, text: str = "text", documents: int
     place, stays; all its other lines go. Lines are what newlines divide; the rest keep their order.
 
     Null text stays null with no lines. Documents with a null doc_id are neither counted nor changed. Rows
-    that repeat a doc_id count as documents of their own, and lines at the first place stay in each.
+    that repeat a doc_id count as documents of their own (as one where lines differ in their fields), and
+    lines at the first place stay in each. Lines of fewer than loose tokens that differ in a field without a
+    digit take one document more: two of them may be alike by chance.
     """
     prepare(docs.sparkSession)
     lines = cut(_lines(docs, text, depth, least, loose), "lines")
     first = F.min(F.struct("doc_id", "line")).alias("first")
     recurring = lines.groupBy("template").agg(F.sum(F.col("new").cast("long")).alias("n"), first).filter(F.col("n") >= documents)
-    gone = lines.join(recurring, "template").filter(F.struct("doc_id", "line") > F.col("first"))
+    gone = lines.join(recurring, "template").filter(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line")
+    fields = cut(_fields(docs, lines, text, depth, least, loose), "fields")
+    alike = lines.filter("leaf is not null").join(fields, "template").select("doc_id", "line", "cluster", "short")
+    per = alike.groupBy("cluster", "doc_id").agg(F.min("line").alias("line"), F.first("short").alias("short"))
+    common = per.groupBy("cluster").agg(F.count("*").alias("n"), F.first("short").alias("short"), first).filter(F.col("n") >= documents + F.col("short").cast("int"))
+    more = alike.select("doc_id", "line", "cluster").join(common.select("cluster", "first"), "cluster").filter(F.struct("doc_id", "line") > F.col("first"))
+    gone = gone.union(more.select("doc_id", "line"))
     gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
     out = docs.join(gone.withColumnRenamed("doc_id", "_doc").hint("merge"), docs["doc_id"] == F.col("_doc"), "left")
     parts = F.split(docs[text], "\n", -1)
