@@ -462,6 +462,22 @@ def test_forward_sums_all_segmentations():
         assert lang_id.forward(w, {k: (v, v / 2) for k, v in table.items()}, (1e-7, 1e-7))[0] == pytest.approx(brute_forward(w, table, 1e-7))
 
 
+def test_forward_takes_long_pieces_and_runs():
+    path = tokenizer_path(PIECES)
+    assert {"▁characteristics", "addeventlistener"} <= lang_id.vocabulary(path)
+    table, piece = {"a": (0.3, 0.2), "b": (0.1, 0.2), "▁" + "ab" * 6: (0.4, 0.1), "ab" * 10: (0.01, 0.02)}, "ab" * 10
+    assert lang_id.words("x " + piece * 5) == ["x", piece * 5]
+    for word in (piece, "ab" * 6, "b" + piece * 3, piece * 5, "c" * 100, "ab" * 2000):
+        w = lang_id.MARK + word
+        sums = [[math.log(1.0)] * 2]
+        for j in range(1, len(w) + 1):
+            arcs = [(i, table.get(w[i:j], (1e-7, 1e-7))) for i in range(max(0, j - 20), j) if w[i:j] in table or i == j - 1]
+            sums.append([np.logaddexp.reduce([sums[i][k] + math.log(p[k]) for i, p in arcs]) for k in (0, 1)])
+        assert lang_id.forward(word, table, (1e-7, 1e-7)) == pytest.approx(sums[-1])
+    learned = lang_id.learn_pieces({"ab" * 60: 2, "characteristics": 1}, lang_id.vocabulary(path) | {"a", "b"})
+    assert sum(learned.values()) == pytest.approx(1) and learned["▁characteristics"] > 0.005
+
+
 def test_language(documents, awkward, empty):
     path = tokenizer_path(PIECES)
     model = lang_id.learn(documents.filter(~lang_id.held_out()), path)

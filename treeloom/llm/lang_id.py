@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from treeloom.runtime import prepare
 
-#: Longest piece, longest part of a word that is segmented at once, documents a language to learn from,
-#: characters that each of them gives to learning, EM rounds, and words that a worker remembers.
-PIECE_CHARS, WORD_CHARS, LEARN_DOCS, LEARN_CHARS, EM_ROUNDS, CACHE_WORDS = 8, 24, 300, 20_000, 3, 400_000
+#: Least reach of the forward pass (it grows with the longest piece), characters after which sums are rescaled,
+#: documents a language to learn from, characters that each of them gives to learning, EM rounds, and words
+#: (of 32 characters in the mean) that a worker remembers.
+PIECE_CHARS, SCALE_CHARS, LEARN_DOCS, LEARN_CHARS, EM_ROUNDS, CACHE_WORDS = 8, 16, 300, 20_000, 3, 400_000
 #: Added to each piece's expected count, and the probability of a character that is no known piece.
 SMOOTH, UNKNOWN = 0.05, 1e-7
 MARK = "▁"
@@ -35,26 +36,31 @@ def vocabulary(path: str) -> frozenset[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     words = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
-    return frozenset(w for w in words if len(w) <= PIECE_CHARS and w.replace(MARK, "", 1).isalpha())
+    return frozenset(w for w in words if w.replace(MARK, "", 1).isalpha())
+
+
+def reach(pieces) -> int:
+    """Characters that the longest piece has, PIECE_CHARS at least."""
+    return max(PIECE_CHARS, max(map(len, pieces), default=0))
 
 
 def words(text: str | None) -> list[str]:
-    """Letter runs of the whole text, lower case, long ones in parts."""
-    found = _WORD.findall((text or "").lower())
-    if any(len(w) > WORD_CHARS for w in found):
-        found = [w[i : i + WORD_CHARS] for w in found for i in range(0, len(w), WORD_CHARS)]
-    return found
+    """Letter runs of the whole text, lower case."""
+    return _WORD.findall((text or "").lower())
+
 
+def forward(word: str, table: dict[str, tuple[float, ...]], unknown: tuple[float, ...], longest: int | None = None) -> list[float]:
+    """Log-probability of a word in each language: the sum over its segmentations into pieces of table.
 
-def forward(word: str, table: dict[str, tuple[float, ...]], unknown: tuple[float, ...]) -> list[float]:
-    """Log-probability of a word in each language: the sum over its segmentations into pieces of table."""
+    longest: reach(table), where the caller has it. Sums of long words are rescaled on the way."""
     w = MARK + word
+    longest = longest or reach(table)
     n, many = len(w), range(len(unknown))
-    alpha = [[1.0] * len(unknown)]
+    alpha, scale = [[1.0] * len(unknown)], [0.0] * len(unknown)
     for j in range(1, n + 1):
         one = alpha[j - 1]
         now = None
-        for i in range(max(0, j - PIECE_CHARS), j):
+        for i in range(max(0, j - longest), j):
             p = table.get(w[i:j])
             if p is not None:
                 a = alpha[i]
@@ -64,16 +70,27 @@ def forward(word: str, table: dict[str, tuple[float, ...]], unknown: tuple[float
         if one is not None:  # a character that is no piece itself
             now = [one[k] * unknown[k] for k in many] if now is None else [now[k] + one[k] * unknown[k] for k in many]
         alpha.append(now)
-    return [math.log(max(a, 1e-300)) for a in alpha[n]]
+        if not j % SCALE_CHARS:
+            low = max(0, j - longest)
+            alpha[low:] = [[x / y for x, y in zip(a, now, strict=True)] for a in alpha[low:]]
+            alpha[max(0, low - SCALE_CHARS) : low] = [None] * min(low, SCALE_CHARS)
+            scale = [s + math.log(y) for s, y in zip(scale, now, strict=True)]
+    return [s + math.log(max(a, 1e-300)) for s, a in zip(scale, alpha[n], strict=True)]
+
+
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
 
 def learn_pieces(counts: dict[str, int], pieces: frozenset[str], rounds: int = EM_ROUNDS) -> dict[str, float]:
     """Piece probabilities of one language from its words' counts, by expectation-maximisation."""
-    known = {}
+    known, longest = {}, reach(pieces)
     for w in counts:
         w = MARK + w
         for i in range(len(w)):
-            for j in range(i + 1, min(len(w), i + PIECE_CHARS) + 1):
+            for j in range(i + 1, min(len(w), i + longest) + 1):
                 if w[i:j] in pieces:
                     known[w[i:j]] = 1.0
     p = dict.fromkeys(known, 1.0 / max(1, len(known)))
@@ -82,7 +99,17 @@ def learn_pieces(counts: dict[str, int], pieces: frozenset[str], rounds: int = E
         for word, c in counts.items():
             w = MARK + word
             n = len(w)
-            arcs = [(i, j, x, p.get(x, UNKNOWN)) for j in range(1, n + 1) for i in range(max(0, j - PIECE_CHARS), j) if (x := w[i:j]) in p or i == j - 1]
+            arcs = [(i, j, x, p.get(x, UNKNOWN)) for j in range(1, n + 1) for i in range(max(0, j - longest), j) if (x := w[i:j]) in p or i == j - 1]
+            if n > 2 * SCALE_CHARS:  # plain products would vanish
+                alpha, beta = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+                for i, j, _x, q in arcs:
+                    alpha[j] = _log_add(alpha[j], alpha[i] + math.log(q))
+                for i, j, _x, q in reversed(arcs):
+                    beta[i] = _log_add(beta[i], beta[j] + math.log(q))
+                for i, j, x, q in arcs:
+                    if x in new:
+                        new[x] += c * math.exp(alpha[i] + math.log(q) + beta[j] - alpha[n])
+                continue
             alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
             for i, j, _x, q in arcs:
                 alpha[j] += alpha[i] * q
@@ -132,6 +159,7 @@ class Scorer(dict):
         super().__init__()
         self.langs = sorted(model)
         pieces = {x for p in model.values() for x in p}
+        self.longest, self.chars = reach(pieces), 0
         self.unknown = tuple(UNKNOWN for _ in self.langs)
         least = [min(model[k].values(), default=UNKNOWN) for k in self.langs]
         self.table = {x: tuple(model[k].get(x, q) for k, q in zip(self.langs, least, strict=True)) for x in pieces}
@@ -141,15 +169,17 @@ class Scorer(dict):
         k = self[word] = len(self)
         if k >= len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[k] = forward(word, self.table, self.unknown)
+        self.rows[k] = forward(word, self.table, self.unknown, self.longest)
+        self.chars += len(word)
         return k
 
     def predict(self, text: str | None) -> tuple[str, float]:
         w = words(text)
         if not w or not self.langs:
             return "und", 0.0
-        if len(self) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS or self.chars > 32 * CACHE_WORDS:
             self.clear()
+            self.chars = 0
             self.rows = self.rows[: CACHE_WORDS + 1]
         ids = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
         s = sum((self.rows[ids[i : i + 65536]].sum(0) for i in range(0, len(ids), 65536)), np.zeros(len(self.langs)))
