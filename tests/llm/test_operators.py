@@ -478,6 +478,12 @@ def test_forward_takes_long_pieces_and_runs():
     assert sum(learned.values()) == pytest.approx(1) and learned["▁characteristics"] > 0.005
 
 
+def test_language_learns_from_whole_texts(spark):
+    rows = [(1, "the " * 6000 + "characteristics " * 3000, "en", "s", None), (2, "der die das", "de", "s", None)]
+    model = lang_id.learn(spark.createDataFrame(rows, DOCS), tokenizer_path(PIECES))
+    assert set(model) == {"de", "en"} and model["en"]["▁characteristics"] > 0.2
+
+
 def test_language(documents, awkward, empty):
     path = tokenizer_path(PIECES)
     model = lang_id.learn(documents.filter(~lang_id.held_out()), path)

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from treeloom.runtime import prepare
 
 #: Least reach of the forward pass (it grows with the longest piece), characters after which sums are rescaled,
-#: documents a language to learn from, characters that each of them gives to learning, EM rounds, and words
-#: (of 32 characters in the mean) that a worker remembers.
-PIECE_CHARS, SCALE_CHARS, LEARN_DOCS, LEARN_CHARS, EM_ROUNDS, CACHE_WORDS = 8, 16, 300, 20_000, 3, 400_000
+#: documents a language to learn from, EM rounds, and words (of 32 characters in the mean) that a worker
+#: remembers.
+PIECE_CHARS, SCALE_CHARS, LEARN_DOCS, EM_ROUNDS, CACHE_WORDS = 8, 16, 300, 3, 400_000
 #: Added to each piece's expected count, and the probability of a character that is no known piece.
 SMOOTH, UNKNOWN = 0.05, 1e-7
 MARK = "▁"
@@ -125,7 +125,7 @@ def learn_pieces(counts: dict[str, int], pieces: frozenset[str], rounds: int = E
 
 def learn(docs: DataFrame, vocabulary_path: str, *, text: str = "text", lang: str = "lang", per_language: int = LEARN_DOCS) -> dict[str, dict[str, float]]:
     """language -> piece -> probability, from a bounded sample: for each language the per_language rows of
-    docs that come first by the crc32 of their doc_id, each with its first LEARN_CHARS characters.
+    docs that come first by the crc32 of their doc_id, with their whole texts.
 
     Rows with null text or language teach nothing. What reaches the driver is bounded by the vocabulary
     and the number of languages.
@@ -136,18 +136,23 @@ def learn(docs: DataFrame, vocabulary_path: str, *, text: str = "text", lang: st
     ids = labelled.select("doc_id", F.col(lang).alias("_lang"), F.crc32(F.col("doc_id").cast("string")).alias("_key"))
     ids = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).select("doc_id", "_lang")
     # per_language rows a language at most
-    taught = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, LEARN_CHARS).alias("text"))
+    taught = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+
+    def count(batches):
+        for b in batches:
+            counts: dict[tuple[str, str], int] = {}
+            for k, t in zip(b["lang"], b["text"], strict=True):
+                for w in words(t):
+                    counts[k, w] = counts.get((k, w), 0) + 1
+            yield pd.DataFrame({"lang": pd.Series([k for k, _ in counts], dtype="object"), "word": pd.Series([w for _, w in counts], dtype="object"), "n": pd.Series(list(counts.values()), dtype="int64")})
 
     def fit(key, pdf):
-        counts: dict[str, int] = {}
-        for t in pdf["text"]:
-            for w in words(t):
-                counts[w] = counts.get(w, 0) + 1
-        p = learn_pieces(counts, vocabulary(vocabulary_path))
+        pdf = pdf.sort_values("word")
+        p = learn_pieces(dict(zip(pdf["word"], pdf["n"].tolist(), strict=True)), vocabulary(vocabulary_path))
         return pd.DataFrame({"lang": key[0], "piece": list(p), "p": list(p.values())})
 
     model: dict[str, dict[str, float]] = {}
-    for r in taught.groupBy("lang").applyInPandas(fit, "lang string, piece string, p double").collect():
+    for r in taught.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).groupBy("lang").applyInPandas(fit, "lang string, piece string, p double").collect():
         model.setdefault(r["lang"], {})[r["piece"]] = r["p"]
     return model
 
