@@ -299,6 +299,20 @@ def test_repeats_wide_and_segments(spark, monkeypatch):
         assert all((a == b).all() for a, b in zip(w, repeats.anchors(t.encode()), strict=True))
 
 
+@pytest.mark.parametrize("length", [80, 37])
+def test_repeats_of_other_lengths(spark, length):
+    own = random.Random(length)
+    word = lambda n: "".join(own.choice("abcdefgh") for _ in range(n))
+    rows = []
+    for i in range(6):
+        short, long = word(length - 3), word(length + 3)
+        rows += [(3 * i, word(50) + short + word(40) + long), (3 * i + 1, long + word(60) + short), (3 * i + 2, word(9) + short + long[:-2])]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=length).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in got} == brute_repeats(rows, length)
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=101)
+
+
 def test_common_strings():
     r = np.random.default_rng(1)
     for _ in range(20):

@@ -24,7 +24,7 @@ from treeloom.runtime import cut, prepare
 LENGTH, GRAM = 100, 32
 #: Bytes of a text that are hashed at once, context bytes of a block, contexts of a run that share a block.
 SEGMENT, BLOCK_BYTES, TOGETHER = 1 << 20, 1 << 20, 2048
-#: Bytes of a letter, by which intervals are extended; LENGTH is a power of two times it.
+#: Most bytes of a letter, by which intervals are extended; the letter divides the length.
 STEP = 25
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -87,10 +87,10 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return tuple(x[new] for x in joined)
 
 
-def _anchors(docs: DataFrame, text: str, only_runs: bool) -> DataFrame:
+def _anchors(docs: DataFrame, text: str, only_runs: bool, length: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            rows = [(doc, *anchors(t.encode("utf-8", "surrogatepass"))) for doc, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True) if t and len(t) * 4 >= LENGTH]
+            rows = [(doc, *anchors(t.encode("utf-8", "surrogatepass"), length)) for doc, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True) if t and len(t) * 4 >= length]
             if not rows:
                 continue
             h = np.concatenate([r[3] for r in rows]).view(np.int64)
@@ -103,15 +103,19 @@ def _anchors(docs: DataFrame, text: str, only_runs: bool) -> DataFrame:
     return docs.select("doc_id", text).filter("doc_id is not null").mapInPandas(run, "h long" if only_runs else ANCHORS)
 
 
-def common_strings(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+def common_strings(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, step: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(sa, interval): places of text in the order of their suffixes, and for each the first row of the
     interval of suffixes that share its first length bytes; -1 where fewer remain before ends[place].
 
-    Letters are words of step bytes, by their hash; suffixes are ordered by these letters, so that rows of
+    Letters are words of step bytes, by their hash; step divides length (by default the largest divisor up
+    to STEP). Ranks of the first length bytes at least are made by doubling; suffixes are ordered by these letters, so that rows of
     strings that share some letters are neighbours. nxt leads from a row to the row of the suffix that
     starts a letter later, the inverse of a backward step of the transform. An interval of l + 1 letters is
     what a backward step, by the same letter, makes of one interval of l letters.
     """
+    step = step or max(d for d in range(1, STEP + 1) if length % d == 0)
+    if length % step:
+        raise ValueError(f"letters of {step} bytes don't divide {length}")
     n = len(text)
     padded = np.concatenate([text, np.zeros(step - 1, np.uint8)])
     letter = np.unique(Hashes(padded).all(step), return_inverse=True)[1].astype(np.int64)
@@ -201,11 +205,13 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, lo, hi: byte intervals of docs (UTF-8) whose every byte lies in a string of length bytes that
     starts earlier too. Intervals may overlap. Rows that share a doc_id are taken for one document whose
-    equal places do not precede each other."""
+    equal places do not precede each other. length is from GRAM to LENGTH: runs and blocks are made for that."""
+    if not GRAM <= length <= LENGTH:
+        raise ValueError(f"length {length} is not from {GRAM} to {LENGTH}")
     prepare(docs.sparkSession)
     reach = length - GRAM
-    again = _anchors(docs, text, True).groupBy("h").count().filter("count > 1").select("h")
-    met = cut(_anchors(docs, text, False).join(again, "h", "left_semi"), "anchors")
+    again = _anchors(docs, text, True, length).groupBy("h").count().filter("count > 1").select("h")
+    met = cut(_anchors(docs, text, False, length).join(again, "h", "left_semi"), "anchors")
     lo = F.greatest(F.lit(0), F.col("pos") - reach)
     same = cut(met.groupBy("h", "c").agg(F.min(F.struct("doc_id", "pos", "hi")).alias("f"), F.count("*").alias("n")), "contexts")
     later = met.join(same.filter("n > 1").select("h", "c", F.col("f.doc_id").alias("fd"), F.col("f.pos").alias("fp")), ["h", "c"])
