@@ -1,21 +1,21 @@
 """Line dedup by a fixed-depth template tree.
 
-A line goes down the tree by its number of tokens and its first tokens. Tokens with a digit are variable
-fields, in lines of four tokens or more. In a leaf a line belongs to its literal template (all fixed tokens)
-and, where it is long enough, to two looser ones that fix every other token and generalise those between.
-Shorter lines have their literal template alone; blank lines have none and stay. So a line that differs from
-others in fields of one parity, whatever they hold, shares a template with them. Templates depend on the
-line alone, not on the order of lines, and are counted by a plain aggregation.
-
-Other fields are found where lines differ: the distinct literal templates of four tokens or more that share
-their number of tokens and the first two are divided, by the values of the place that has the fewest, until
-a group agrees in enough places (half of them; two thirds in lines of fewer than ten tokens). All places that
-vary in a group are then fields, and its lines are of one template.
+A line goes down the tree by its number of tokens and then by its first two tokens. Tokens with a digit are
+variable fields, in lines of four tokens or more. In the leaf a line belongs to its literal template, which
+fixes all other tokens, and to looser ones, which generalise some places whatever they hold: a window of
+neighbouring places (three windows, which overlap, together cover the line), or every other place. Two lines
+of a leaf so share a template if they agree outside a window, or at every other place. Lines of fewer than
+ten tokens have narrower windows, of a third of the line, and no template of every other place; lines of
+fewer than four have their literal template alone; blank lines have none and stay.
+
+Templates depend on the line alone, not on the order of lines or on how many there are, so that a leaf is
+never gathered: templates are counted by an aggregation, which is combined before rows move.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,167 +23,133 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.llm.near_dup import mix
 from treeloom.runtime import cut, prepare
 
-#: Leading tokens of the tree, least tokens of a line with variable fields and of a looser template, documents that make it recur.
-DEPTH, LEAST, LOOSE, DOCUMENTS = 3, 4, 10, 2
+#: Leading tokens of the tree, leading tokens that templates of every other place fix, least tokens of a
+#: line with variable fields, and of a longer one, documents that make a template recur.
+DEPTH, ALTERNATE, LEAST, LONG, DOCUMENTS = 2, 3, 4, 10, 2
+#: Windows of a line.
+WINDOWS = 3
+#: Token hashes that a task remembers.
+TOKENS = 500_000
 _DIGIT = re.compile(rb"[0-9]")
-
-
-def _fixed(tokens: list[bytes], least: int) -> list[bytes]:
-    """The tokens of the literal template: variable fields are zero bytes, unless they are the most."""
-    n = len(tokens)
-    if n < least:
-        return tokens
-    masked = [b"\0" if _DIGIT.search(t) else t for t in tokens]
-    return masked if 2 * sum(t != b"\0" for t in masked) >= n else tokens
-
-
-def templates(line: str, depth: int = DEPTH, least: int = LEAST, loose: int = LOOSE) -> list[int]:
-    """Signed 64-bit ids of the line's templates; none for blank lines only."""
-    tokens = line.encode("utf-8", "surrogatepass").split()
-    n = len(tokens)
-    if not n:
-        return []
-    masked = [b"\0" if _DIGIT.search(t) else t for t in tokens] if n >= least and _DIGIT.search(line.encode("utf-8", "surrogatepass")) else tokens
-    fixed = [(0, masked if 2 * sum(t != b"\0" for t in masked) >= n else tokens)]  # mostly fields: only itself
-    if n >= loose:
-        for first in (0, 1):
-            some = masked[:depth] + masked[depth + first :: 2]
-            if 2 * sum(t != b"\0" for t in some) >= n:
-                fixed.append((1 + first, some))
-    return [xxhash.xxh3_64_intdigest(b" ".join(f), seed=3 * n + i) - 2**63 for i, f in fixed]
-
-
-def _leaf(line: str, depth: int, least: int) -> int | None:
-    """Id of the place in the tree where the line's fields are looked for; none for fewer than least tokens."""
-    tokens = line.encode("utf-8", "surrogatepass").split()
-    if len(tokens) < least:
-        return None
-    return xxhash.xxh3_64_intdigest(b" ".join(_fixed(tokens, least)[: depth - 1]), seed=len(tokens)) - 2**63
-
-
-def groups(values: np.ndarray, loose: int = LOOSE) -> list[np.ndarray]:
-    """Row numbers of the groups of two or more of the distinct rows of a leaf; 0 is a variable field."""
-    n = values.shape[1]
-    todo, found = [np.arange(len(values))], []
-    while todo:
-        rows = todo.pop()
-        own = values[rows]
-        kinds = 1 + (np.diff(np.sort(own, axis=0), axis=0) != 0).sum(axis=0)
-        agree = int(((kinds == 1) & (own[0] != 0)).sum())
-        if (2 * agree >= n) if n >= loose else (3 * agree >= 2 * n):
-            found.append(rows)
-            continue
-        at = own[:, np.where(kinds > 1, kinds, len(rows) + 1).argmin()]
-        order = np.argsort(at, kind="stable")
-        ends = np.flatnonzero(np.diff(at[order])) + 1
-        todo += [part for part in np.split(rows[order], ends) if len(part) > 1]
-    return found
-
-
-def _lines(docs: DataFrame, text: str, depth: int, least: int, loose: int) -> DataFrame:
-    """doc_id, line, template, new (whether it is the document's first line of the template), leaf (of literal templates)."""
+_PLACE, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class _Hashes(dict):
+    """token -> hash; the last bit tells that it has a digit."""
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= TOKENS:
+            self.clear()
+        h = self[token] = xxhash.xxh3_64_intdigest(token) & ~1 | bool(_DIGIT.search(token))
+        return h
+
+
+def templates(lines: list[bytes], hashes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line numbers, template ids, whether the template is a loose one of a line of fewer than LONG tokens)."""
+    tokens = [x.split() for x in lines]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(tokens)), np.uint64, int(sizes.sum()))
+    ends = sizes.cumsum()
+    starts = ends - sizes
+    place = np.arange(len(flat)) - np.repeat(starts, sizes)
+    digit = (flat & np.uint64(1)).astype(bool)
+
+    def summed(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, x.dtype), x.cumsum(dtype=x.dtype)])
+
+    digits = summed(digit.astype(np.int64))
+    # Short lines, and those of mostly fields, keep all their tokens.
+    masked = (sizes >= LEAST) & (2 * (sizes - (digits[ends] - digits[starts])) >= sizes)
+    field = digit & np.repeat(masked, sizes)
+    part = mix(np.where(field, np.uint64(1), flat & ~np.uint64(1)) + place.astype(np.uint64) * _PLACE)
+    fixed = (~field).astype(np.int64)
+    rows, ids, loose = [], [], []
+
+    def add(which, sums, kind, short) -> None:
+        kind = np.broadcast_to(np.asarray(kind, np.uint64), len(which))
+        rows.append(which)
+        ids.append(mix(mix(sums + sizes[which].astype(np.uint64) * _PLACE) + kind * _SEED))
+        loose.append(np.broadcast_to(short, len(which)))
+
+    h, f = summed(part), summed(fixed)
+    some = np.flatnonzero(sizes > 0)
+    add(some, h[ends[some]] - h[starts[some]], 0, False)
+    some = np.flatnonzero(sizes >= LEAST)
+    n, rest = sizes[some], sizes[some] - DEPTH
+    width = np.where(n >= LONG, rest // 2, np.maximum(1, n // 3))
+    former = np.full(len(some), -1)
+    for k in range(WINDOWS):
+        start = DEPTH + k * (rest - width) // (WINDOWS - 1)  # a window is known by its start
+        lo, hi = starts[some] + start, starts[some] + start + width
+        left = f[ends[some]] - f[starts[some]] - (f[hi] - f[lo])
+        able = (start > former) & np.where(n >= LONG, 2 * left >= n, 3 * left >= 2 * n)
+        sums = h[ends[some]] - h[starts[some]] - (h[hi] - h[lo])
+        add(some[able], sums[able], start[able] + 2, (n < LONG)[able])
+        former = start
+    some = np.flatnonzero(sizes >= LONG)
+    for parity in (0, 1):
+        out = (place >= ALTERNATE) & (place % 2 == parity)
+        h, f = summed(np.where(out, np.uint64(0), part)), summed(np.where(out, 0, fixed))
+        which = some[2 * (f[ends[some]] - f[starts[some]]) >= sizes[some]]
+        add(which, h[ends[which]] - h[starts[which]], 1 + parity, False)
+    return np.concatenate(rows), np.concatenate(ids), np.concatenate(loose)
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """docs: _d, _h, _t. d, h, line, template, new (whether it is the document's first line of the template),
+    short (whether it takes one document more)."""
 
     def run(batches):
+        hashes = _Hashes()
         for b in batches:
-            ids, lines, keys, new, leaves = [], [], [], [], []
-            for doc, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                seen: set[int] = set()
-                for i, line in enumerate((t or "").split("\n")):
-                    for kind, k in enumerate(templates(line, depth, least, loose)):
-                        ids.append(doc)
-                        lines.append(i)
-                        keys.append(k)
-                        new.append(k not in seen)
-                        leaves.append(None if kind else _leaf(line, depth, least))
-                        seen.add(k)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "line": pd.Series(lines, dtype="int32"), "template": pd.Series(keys, dtype="int64"), "new": pd.Series(new, dtype="bool"), "leaf": pd.Series(leaves, dtype="Int64")})
-
-    return docs.select("doc_id", text).filter("doc_id is not null").mapInPandas(run, "doc_id long, line int, template long, new boolean, leaf long")
-
-
-def _fields(docs: DataFrame, lines: DataFrame, text: str, depth: int, least: int, loose: int) -> DataFrame:
-    """template, cluster, short: the group of each literal template that shares its fixed places with others."""
-    literal = lines.filter("leaf is not null")
-    shared = literal.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b")).filter("a <> b").select("leaf")
-    first = F.min(F.struct("doc_id", "line")).alias("first")
-    members = literal.groupBy("template").agg(F.max("leaf").alias("leaf"), first).join(shared, "leaf")
-    held = members.groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "template", "leaf")).alias("_held"))
-
-    def take(batches):
-        for b in batches:
-            keys, leaves, values = [], [], []
-            for t, held in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                parts = (t or "").split("\n")
-                for h in held:
-                    line = parts[h["line"]] if h["line"] < len(parts) else ""
-                    # rows may repeat a doc_id: only the one that has this line tells of it
-                    if (templates(line, depth, least, loose) or [None])[0] != h["template"]:
-                        continue
-                    fixed = _fixed(line.encode("utf-8", "surrogatepass").split(), least)
-                    keys.append(h["template"])
-                    leaves.append(h["leaf"])
-                    values.append(np.array([0 if x == b"\0" else xxhash.xxh3_64_intdigest(x) | 1 for x in fixed], dtype="uint64").tobytes())
-            yield pd.DataFrame({"template": pd.Series(keys, dtype="int64"), "leaf": pd.Series(leaves, dtype="int64"), "fixed": pd.Series(values, dtype="object")})
-
-    def divide(batches):
-        def leaf_rows(keys, values):
-            lengths = [len(v) for v in values]
-            for size in sorted(set(lengths)):  # one length, but for a collision of leaf ids
-                at = [i for i, x in enumerate(lengths) if x == size]
-                matrix = np.frombuffer(b"".join(values[i] for i in at), dtype="uint64").reshape(len(at), -1)
-                for rows in groups(matrix, loose) if len(at) > 1 else ():
-                    of = [keys[at[r]] for r in rows]
-                    yield from ((k, min(of), size // 8 < loose) for k in of)
-
-        def table(rows):
-            return pd.DataFrame({"template": pd.Series([r[0] for r in rows], dtype="int64"), "cluster": pd.Series([r[1] for r in rows], dtype="int64"), "short": pd.Series([r[2] for r in rows], dtype="bool")})
-
-        leaf, keys, values = None, [], []
-        for b in batches:
-            out = []
-            for k, f, v in zip(b["template"], b["leaf"], b["fixed"], strict=True):
-                if f != leaf:
-                    out += leaf_rows(keys, values)
-                    leaf, keys, values = f, [], []
-                if not keys or keys[-1] != k:  # rows that repeat a doc_id and its text
-                    keys.append(k)
-                    values.append(v)
-            yield table(out)
-        yield table(list(leaf_rows(keys, values)))
-
-    texts = docs.select(F.col("doc_id"), F.col(text).alias("_text")).join(held.hint("merge"), F.col("doc_id") == F.col("_doc")).select("_text", "_held")
-    fixed = texts.mapInPandas(take, "template long, leaf long, fixed binary")
-    return fixed.repartition("leaf").sortWithinPartitions("leaf", "template").mapInPandas(divide, "template long, cluster long, short boolean")
-
-
-def drop_recurring_lines(docs: DataFrame, *, text: str = "text", documents: int = DOCUMENTS, depth: int = DEPTH, least: int = LEAST, loose: int = LOOSE) -> DataFrame:
+            texts = [(t or "").encode("utf-8", "surrogatepass").split(b"\n") for t in b["_t"]]
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            doc = np.repeat(np.arange(len(texts)), sizes)
+            number = np.arange(len(doc)) - np.repeat(sizes.cumsum() - sizes, sizes)
+            at, ids, short = templates(list(chain.from_iterable(texts)), hashes)
+            order = np.lexsort((number[at], ids, doc[at]))
+            at, ids, short = at[order], ids[order], short[order]
+            of = doc[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (of[1:] != of[:-1]) | (ids[1:] != ids[:-1])
+            yield pd.DataFrame({"d": b["_d"].to_numpy()[of], "h": b["_h"].to_numpy()[of], "line": number[at].astype(np.int32), "template": ids.view(np.int64), "new": new, "short": short})
+
+    return docs.mapInPandas(run, "d long, h long, line int, template long, new boolean, short boolean")
+
+
+def drop_recurring_lines(docs: DataFrame, *, text: str = "text", documents: int = DOCUMENTS) -> DataFrame:
     """docs with the text less its recurring lines, and n_lines and n_dropped beside it.
 
-    A template recurs if at least so many documents hold a line of it. Its first line, by doc_id and then
-    place, stays; all its other lines go. Lines are what newlines divide; the rest keep their order.
+    A template recurs if lines of it stand in different documents, at least so many (one more for a loose
+    template of a line of fewer than ten tokens: two may be alike by chance). In the document with the least
+    doc_id its first line stays; all its other lines go. Lines are what newlines divide; the rest keep their
+    order. Whole texts are taken, however long.
 
-    Null text stays null with no lines. Documents with a null doc_id are neither counted nor changed. Rows
-    that repeat a doc_id count as documents of their own (as one where lines differ in their fields), and
-    lines at the first place stay in each. Lines of fewer than loose tokens that differ in a field without a
-    digit take one document more: two of them may be alike by chance.
+    Null text stays null with no lines. Rows that repeat a doc_id are parts of one document, of which no part
+    precedes the other: each may keep a first line, and each adds to the number; a row loses what its own
+    text calls for. Rows with a null doc_id are such parts of one document, which precedes all. An empty
+    table gives an empty result. Other columns may have any name; n_lines and n_dropped are replaced.
     """
+    if documents < 2:
+        raise ValueError("a line recurs in two documents at least")
     prepare(docs.sparkSession)
-    lines = cut(_lines(docs, text, depth, least, loose), "lines")
-    first = F.min(F.struct("doc_id", "line")).alias("first")
-    recurring = lines.groupBy("template").agg(F.sum(F.col("new").cast("long")).alias("n"), first).filter(F.col("n") >= documents)
-    gone = lines.join(recurring, "template").filter(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line")
-    fields = cut(_fields(docs, lines, text, depth, least, loose), "fields")
-    alike = lines.filter("leaf is not null").join(fields, "template").select("doc_id", "line", "cluster", "short")
-    per = alike.groupBy("cluster", "doc_id").agg(F.min("line").alias("line"), F.first("short").alias("short"))
-    common = per.groupBy("cluster").agg(F.count("*").alias("n"), F.first("short").alias("short"), first).filter(F.col("n") >= documents + F.col("short").cast("int"))
-    more = alike.select("doc_id", "line", "cluster").join(common.select("cluster", "first"), "cluster").filter(F.struct("doc_id", "line") > F.col("first"))
-    gone = gone.union(more.select("doc_id", "line"))
-    gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    out = docs.join(gone.withColumnRenamed("doc_id", "_doc").hint("merge"), docs["doc_id"] == F.col("_doc"), "left")
-    parts = F.split(docs[text], "\n", -1)
-    rest = F.when(F.col("_gone").isNull(), docs[text]).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    n = F.when(docs[text].isNull(), 0).otherwise(F.length(docs[text]) - F.length(F.replace(docs[text], F.lit("\n"), F.lit(""))) + 1).cast("long")
-    own = [docs[c] if c != text else rest.alias(text) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*own, n.alias("n_lines"), F.greatest(F.lit(0), F.size(F.coalesce("_gone", F.array().cast("array<int>")))).cast("long").alias("n_dropped"))
+    t = docs[text]
+    key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(t).alias("_h")]
+    lines = cut(_lines(docs.select(*key, t.alias("_t")).filter("length(_t) > 0")), "lines")
+    found = lines.groupBy("template").agg(F.min("d").alias("least"), F.max("d").alias("last"), F.count_if("new").alias("n"), F.max("short").alias("short"))
+    found = found.filter((F.col("least") < F.col("last")) & (F.col("n") >= documents + F.col("short").cast("int")))
+    # A table of its own, so that a template with very many lines can be split between tasks.
+    found = cut(found.select("template", "least"), "recurring")
+    gone = lines.select("d", "h", "line", "template", "new").hint("merge").join(found, "template").filter((F.col("d") > F.col("least")) | ~F.col("new"))
+    gone = gone.groupBy("d", "h").agg(F.collect_set("line").alias("gone")).select(F.col("d").alias("_d"), F.col("h").alias("_h"), "gone")
+    row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
+    out = docs.select(*key, row).join(gone.hint("merge"), ["_d", "_h"], "left")
+    own = {c: F.col(f"_row.c{i}") for i, c in enumerate(docs.columns)}
+    whole = own[text]
+    n = F.when(whole.isNull(), 0).otherwise(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    rest = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(F.filter(F.split(whole, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    kept = [(rest if c == text else v).alias(c) for c, v in own.items() if c not in ("n_lines", "n_dropped")]
+    return out.select(*kept, n.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))

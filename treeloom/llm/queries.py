@@ -74,17 +74,25 @@ ORACLE_SQL = {
         ), w AS (
             SELECT doc_id, line, body, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS t FROM l
         ), m AS (
-            SELECT *, len(t) AS n, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' || chr(1) ELSE x END) AS k FROM w WHERE len(t) >= 4
+            SELECT *, len(t) AS n, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' || chr(1) ELSE x END) AS k FROM w WHERE len(t) > 0
+        ), f AS (
+            SELECT * REPLACE (CASE WHEN n >= 4 AND 2 * len(list_filter(k, lambda x: x <> '*' || chr(1))) >= n THEN k ELSE t END AS k),
+                   CASE WHEN n >= 10 THEN (n - 2) // 2 ELSE greatest(1, n // 3) END AS width FROM m
+        ), o AS (
+            SELECT *, unnest(list_distinct([2, 2 + (n - 2 - width) // 2, n - width])) AS start FROM f WHERE n >= 4
         ), k AS (
-            SELECT doc_id, line, n, 0 AS kind, CASE WHEN 2 * len(list_filter(k, lambda x: x <> '*' || chr(1))) >= n THEN k ELSE t END AS key FROM m
-            UNION ALL SELECT doc_id, line, n, 1, k[1:3] || k[4:n:2] FROM m WHERE n >= 10
-            UNION ALL SELECT doc_id, line, n, 2, k[1:3] || k[5:n:2] FROM m WHERE n >= 10
+            SELECT doc_id, line, n, -1 AS kind, false AS short, n AS fixed, k AS key FROM f
+            UNION ALL SELECT doc_id, line, n, start, n < 10, 0, k[1:start] || k[start + width + 1:n] FROM o
+            UNION ALL SELECT doc_id, line, n, -2, false, 0, k[1:3] || k[4:n:2] FROM f WHERE n >= 10
+            UNION ALL SELECT doc_id, line, n, -3, false, 0, k[1:3] || k[5:n:2] FROM f WHERE n >= 10
         ), v AS (
-            SELECT * FROM k WHERE kind = 0 OR 2 * len(list_filter(key, lambda x: x <> '*' || chr(1))) >= n
-        ), f AS (
-            SELECT n, kind, key, min(struct_pack(d := doc_id, l := line)) AS first FROM v GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3
+            SELECT *, line = min(line) OVER (PARTITION BY doc_id, n, kind, key) AS is_new
+            FROM (SELECT * REPLACE (greatest(fixed, len(list_filter(key, lambda x: x <> '*' || chr(1)))) AS fixed) FROM k)
+            WHERE CASE WHEN short THEN 3 * fixed >= 2 * n ELSE 2 * fixed >= n END
+        ), r AS (
+            SELECT n, kind, key, min(doc_id) AS least FROM v GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2 + max(CAST(short AS INT))
         ), g AS (
-            SELECT DISTINCT doc_id, line FROM v JOIN f USING (n, kind, key) WHERE struct_pack(d := doc_id, l := line) > first
+            SELECT DISTINCT doc_id, line FROM v JOIN r USING (n, kind, key) WHERE doc_id > least OR NOT is_new
         ), s AS (
             SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_dropped, coalesce(string_agg(body, chr(10) ORDER BY l.line) FILTER (g.line IS NULL), '') AS rest
             FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY 1
