@@ -563,40 +563,82 @@ def test_language(documents, awkward, empty):
 
 
 def brute_leaks(docs, items):
+    """(doc, item): the item's words as shingles against those of every window of its size."""
+
+    def shingled(words, k):
+        return [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+
     out = set()
     for d, t in docs:
-        s = decontamination.shingle_hashes(decontamination.word_hashes(t)).tolist()
+        w = re.findall(r"\w+", (t or "").lower())
+        kinds = {k: shingled(w, k) for k in range(1, 6)}
+        present = {k: set(s) for k, s in kinds.items()}
         for i, x in items:
-            own = decontamination.shingle_hashes(decontamination.word_hashes(x)).tolist()
-            if own and s:
-                n = len(own)
-                if any(decontamination.similarity(Counter(s[a : a + n]), Counter(own)) >= 0.8 for a in range(max(1, len(s) - n + 1))):
+            own = re.findall(r"\w+", (x or "").lower())
+            k = min(5, len(own))
+            if not own or not kinds[k] or present[k].isdisjoint(own := shingled(own, k)):
+                continue
+            n, want, s = len(own), Counter(own), kinds[k]
+            for a in range(max(1, len(s) - n + 1)):
+                c = Counter(s[a : a + n])
+                common = sum((c & want).values())
+                if common >= 0.8 * (c.total() + want.total() - common):
                     out.add((d, i))
+                    break
     return out
 
 
-def test_decontamination(spark, documents):
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    items = [tuple(r) for r in bench.collect()]
+def leaky():
+    """Documents, some of which hold passages with some words changed, and items."""
+    items = [(r.item_id, r.text) for r in pd.read_parquet(f"{SF}/benchmark.parquet").itertuples()]
     r = random.Random(3)
     docs = [(x.doc_id, x.text) for x in rows_of()]
-    for k in range(60):  # passages with some words changed, put into other texts
+    for k in range(60):
         w = r.choice(items)[1].split()
         for _ in range(r.randrange(3)):
             w[r.randrange(len(w))] = "changed"
         w = w[r.randrange(3) :]
         docs.append((1000 + k, docs[k][1][:300] + " " + " ".join(w) + " " + docs[k + 1][1][:200] if k % 3 else " ".join(w)))
-    docs += [(2000, None), (2001, ""), (2002, "one two")]
-    items += [(900, "short item"), (901, ""), (902, None)]
-    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    want = brute_leaks(docs, [x for x in items if x[1]])
-    assert len(want) > 10
+    docs += [(2000, None), (2001, ""), (2002, "one two"), (2003, "a Short ITEM of it"), (None, items[0][1]), (2004, items[1][1]), (2004, "nothing"), (2005, items[2][1] * 2), (2006, "word " * 30_000 + items[3][1])]
+    return docs, [*items, (900, "short, item"), (901, ""), (902, None), (903, "!!"), (None, items[4][1]), (items[1][0], "another text of an item that has the very same number as one"), (904, items[5][1])]
+
+
+def test_decontamination(spark):
+    docs, items = leaky()
+    df, b = spark.createDataFrame([(*x, 1, 2) for x in docs], "doc_id long, text string, item_id int, start int"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(docs, [x for x in items if x[0] is not None])
+    assert len(want) > 20 and (2003, 900) in want and (None, items[0][0]) in want
     for pass_bytes in (decontamination.PASS_BYTES, 2000):
         got = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(df, b, pass_bytes=pass_bytes).collect()}
         assert got == want
     judged = decontamination.judge(df, decontamination.find_leaks(df, b)).collect()
     assert len(judged) == len(docs) and {x.doc_id for x in judged if x.contaminated} == {d for d, _ in want}
-    assert decontamination.find_leaks(df, b.limit(0)).count() == 0
+    assert sum(x.contaminated for x in judged if x.doc_id == 2004) == 2
+    for few in (df, df.limit(0)):
+        leaks = decontamination.find_leaks(few, b.limit(0))
+        assert leaks.count() == 0 and decontamination.judge(few, leaks).count() == few.count()
+
+
+def test_decontamination_passes_no_window_over(monkeypatch):
+    docs, items = leaky()
+    index = decontamination.Index([x for x in items if x[0] is not None and x[1]])
+    some = [x for x in docs if x[0] is not None and 1000 <= x[0] < 1040]
+    want = {d: index.search(decontamination.word_hashes(t)) for d, t in some}
+    monkeypatch.setattr(decontamination.Index, "touched", lambda self, s: np.arange(len(s)))
+    assert {d: index.search(decontamination.word_hashes(t)) for d, t in some} == want and any(want.values())
+
+
+def test_hamming_blocks_lead_to_all_within_radius():
+    r = np.random.default_rng(5)
+    index = decontamination.Index([(i, " ".join(map(str, r.integers(0, 10**6, 20)))) for i in range(50)])
+    bits = np.unpackbits(index.prints.view(np.uint8), axis=1)
+    prints = []
+    for i in range(50):
+        b = bits[i].copy()
+        b[r.choice(256, decontamination.SURE, replace=False)] ^= 1
+        prints.append(np.packbits(b).view("<u2"))
+    window, item = index.candidates(np.array(prints), np.full(50, 16), 5)
+    assert set(zip(window.tolist(), item.tolist(), strict=True)) >= {(i, i) for i in range(50)}
 
 
 def test_empty_tables(empty):
