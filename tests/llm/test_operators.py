@@ -494,7 +494,7 @@ def test_nearest(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     v = v.withColumn("score", df_lit())
     got = defaultdict(list)
-    for r in nearest.search(v, v.filter("vec_id % 20 = 0"), block=150, query_block=20).orderBy("query_id", "rank").collect():
+    for r in nearest.search(v, v.filter("vec_id % 20 = 0"), block=150).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     want = brute_nearest([(r.vec_id, r.embedding) for r in v.collect()])
     assert set(got) == set(want) and all(len(got[q]) == len(want[q]) for q in want)
@@ -503,7 +503,38 @@ def test_nearest(spark):
     assert all(abs(s - dict(want[q]).get(i, s)) < 1e-9 for q in got for i, s in got[q])
     few = v.limit(5)
     assert nearest.search(few, few.filter("vec_id % 20 = 0")).count() == 4
-    assert nearest.search(v.limit(0), v.limit(0)).count() == 0
+    assert nearest.search(v.limit(0), v.limit(0)).count() == 0 and nearest.search(v, v.limit(0)).count() == 0
+
+
+def test_nearest_verifies_a_small_part():
+    vectors = np.random.default_rng(3).normal(size=(6000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    index = nearest.Index(np.arange(6000), vectors, 1.0)
+    hit = verified = 0
+    for q, at, _, n in index.nearest(np.arange(100), vectors[:100], 20):
+        s = vectors @ vectors[q]
+        s[q] = -9
+        hit += len(set(at.tolist()) & set(np.argsort(-s)[:20].tolist()))
+        verified += n
+    assert hit >= 0.9 * 2000 and verified <= 0.1 * 100 * 6000
+
+
+def test_nearest_of_odd_rows(spark):
+    r = random.Random(6)
+    rows = [(i, [float(r.randrange(-2, 3)) for _ in range(3)]) for i in range(90)]  # many ties
+    rows += [rows[0], rows[20], (20, [2.0, 2.0, 2.0]), (40, rows[40][1])] + [(200 + i, [float(i - 5), 1.0]) for i in range(0, 60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in nearest.search(v, v.filter("vec_id % 20 = 0"), k=7, block=40).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.rank, x.vec_id, x.score))
+    least = {}
+    for i, x in rows:
+        if i % 20 == 0 and any(x):
+            least[i] = min(least.get(i, x), x)
+    for q, x in least.items():
+        want = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in rows if i != q and len(y) == len(x) and any(y))[:7]
+        assert [a[0] for a in got[q]] == list(range(1, len(want) + 1))
+        assert [(-a[2], a[1]) for a in got[q]] == want, q
 
 
 def brute_forward(word, table, unknown):
