@@ -467,10 +467,37 @@ def test_warc(spark, tmp_path):
     assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, bytes(r.payload)) for r in got), key=key) == sorted(want, key=key)
     again = warc.write_warc(df, f"file://{tmp_path}/w2", file_bytes=20_000)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, manifest.collect()))
+    for m in manifest.collect():
+        assert (tmp_path / "w2" / m.name).read_bytes() == (tmp_path / "w" / m.name).read_bytes()
+    assert sorted(x.name for x in (tmp_path / "w").iterdir() if x.name[0] != ".") == sorted(["manifest", *(m.name for m in manifest.collect())])
+    ends = sorted((m.range_id, m.shard, m.name) for m in manifest.collect())
+    ids = [[int(x) for x in re.findall(rb"X-Page-ID: (\d+)", b"".join(warc.members((tmp_path / "w" / n).open("rb").read)))] for *_, n in ends]
+    assert [x for f in ids for x in f] == sorted(p for p, *_ in rows if p is not None)  # sorted over all files
+    first = next(warc.members((tmp_path / "w" / ends[0][2]).open("rb").read))
+    assert b"WARC-Type: warcinfo" in first and warc.parse(first) is None
+    with pytest.raises(ValueError):
+        warc.parse(first.replace(b"format:", b"Format:"))
     warc.write_warc(df.limit(0), f"file://{tmp_path}/e")
     assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_records():
+    digest = hashlib.sha256(b"x").hexdigest()
+    a, b = warc.record_bytes(1, "http://a/b c\r\nX: é%20", b"x", digest, None), warc.record_bytes(2, None, b"x", digest, 1)
+    assert b"WARC-Target-URI: http://a/b%20c%0D%0AX:%20%C3%A9%20\r\n" in a and a.count(b"HTTP/1.1 200 OK") == 1
+    own = re.search(rb"WARC-Record-ID: (\S+)", a)[1]
+    assert b"WARC-Refers-To: " + own in b and warc.parse(b)[2:6] == ("revisit", 1, 1, digest)
+
+
+def test_warc_of_odd_pages(spark, tmp_path):
+    long = "é" * 3_000_000
+    rows = [(7, "u", long), (8, "u", long), (2**62, "u", "far " * 50), (-(2**62), "u", "far " * 50), (None, "u", long), (7, "v", long)] + [(3, None, "same " * 40)] * 50
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, range_id int")
+    warc.write_warc(df, f"file://{tmp_path}/w", file_bytes=1000, range_bytes=1 << 20)
+    got = Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect())
+    assert got == {(7, "response", None, 6_000_000): 2, (8, "revisit", 7, 6_000_000): 1, (2**62, "revisit", -(2**62), 200): 1, (-(2**62), "response", None, 200): 1, (None, "response", None, 6_000_000): 1, (3, "response", None, 200): 50}
+
+
 def df_lit():
     from pyspark.sql import functions as F
 
