@@ -334,6 +334,22 @@ def test_repeats_of_other_lengths(spark, length):
         repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=101)
 
 
+def test_expansion_alone_finds_the_intervals():
+    r = np.random.default_rng(2)
+    text = r.integers(97, 99, 700).astype(np.uint8)
+    text[300:420] = text[10:130]
+    data = text.tobytes()
+    sa, before, nxt = repeats.transform(text, 25, 100)
+    assert sorted(sa.tolist()) == list(range(700))
+    for letters in (1, 2, 3, 4):
+        first = repeats.expand(before, nxt, letters)
+        n = 25 * letters
+        inside = [p for p in sa.tolist() if p + n + 25 <= 700]
+        class_of = dict(zip(sa.tolist(), first.tolist(), strict=True))
+        for a, b in zip(inside, inside[1:], strict=False):
+            assert (class_of[a] == class_of[b]) == (data[a : a + n] == data[b : b + n])
+
+
 def test_common_strings():
     r = np.random.default_rng(1)
     for _ in range(20):

@@ -103,42 +103,61 @@ def _anchors(docs: DataFrame, text: str, only_runs: bool, length: int) -> DataFr
     return docs.select("doc_id", text).filter("doc_id is not null").mapInPandas(run, "h long" if only_runs else ANCHORS)
 
 
-def common_strings(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, step: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(sa, interval): places of text in the order of their suffixes, and for each the first row of the
-    interval of suffixes that share its first length bytes; -1 where fewer remain before ends[place].
+def transform(text: np.ndarray, step: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sa, before, nxt): the Burrows-Wheeler transform of text over letters of step bytes (their hashes).
 
-    Letters are words of step bytes, by their hash; step divides length (by default the largest divisor up
-    to STEP). Ranks of the first length bytes at least are made by doubling; suffixes are ordered by these letters, so that rows of
-    strings that share some letters are neighbours. nxt leads from a row to the row of the suffix that
-    starts a letter later, the inverse of a backward step of the transform. An interval of l + 1 letters is
-    what a backward step, by the same letter, makes of one interval of l letters.
+    sa: places of text in the order of their suffixes, by one sort of the letters up to length. before: the letter
+    at each row's place. nxt: the row of the suffix that starts a letter later, so that a backward step leads
+    from nxt[row] by the letter before[row] to row.
     """
-    step = step or max(d for d in range(1, STEP + 1) if length % d == 0)
-    if length % step:
-        raise ValueError(f"letters of {step} bytes don't divide {length}")
     n = len(text)
-    padded = np.concatenate([text, np.zeros(step - 1, np.uint8)])
-    letter = np.unique(Hashes(padded).all(step), return_inverse=True)[1].astype(np.int64)
-    rank, known = letter, step
-    while known < length:
-        later = np.zeros(n, np.int64)
-        later[: max(0, n - known)] = rank[known:] + 1
-        rank = np.unique(rank * (n + 1) + later, return_inverse=True)[1].astype(np.int64)
-        known *= 2
-    sa = np.argsort(rank, kind="stable")
+    letter = np.unique(Hashes(np.concatenate([text, np.zeros(step - 1, np.uint8)])).all(step), return_inverse=True)[1].astype(np.int64)
+    columns = np.zeros((length // step, n + length), np.int64)
+    for i in range(length // step):
+        columns[i, : n - i * step] = letter[i * step :] + 1
+    # Some letters to a number: blocks have fewer than 2 ** 21 bytes.
+    wide = max(1, 62 // int(n + 2).bit_length())
+    keys = []
+    for i in range(0, len(columns), wide):
+        key = np.zeros(n, np.int64)
+        for c in columns[i : i + wide]:
+            key = key * (n + 2) + c[:n]
+        keys.append(key)
+    sa = np.lexsort(keys[::-1])
     row = np.empty(n, np.int64)
     row[sa] = np.arange(n)
-    nxt = row[np.minimum(sa + step, n - 1)]
-    before = letter[sa]
+    return sa, letter[sa], row[np.minimum(sa + step, n - 1)]
+
+
+def expand(before: np.ndarray, nxt: np.ndarray, letters: int) -> np.ndarray:
+    """For each row the first row of the interval of suffixes that share so many letters.
+
+    Breadth first: an interval of one letter more is what a backward step, by one letter, makes of an
+    interval, so an edge between rows appears at the number of letters that their suffixes share. Expansion ends
+    at the threshold. (By rows: those that share the next letter, and whose later suffixes share an interval,
+    stay together.)
+    """
+    rows = np.arange(len(before))
     edge = np.r_[True, before[1:] != before[:-1]]
-    rows = np.arange(n)
     interval = np.maximum.accumulate(np.where(edge, rows, 0))
-    for _ in range(length // step - 1):
+    for _ in range(letters - 1):
         went = interval[nxt]
-        new = edge.copy()
-        new[1:] |= went[1:] != went[:-1]
-        interval = np.maximum.accumulate(np.where(new, rows, 0))
-    return sa, np.where(ends[sa] - sa >= length, interval, -1)
+        edge[1:] |= went[1:] != went[:-1]
+        interval = np.maximum.accumulate(np.where(edge, rows, 0))
+    return interval
+
+
+def common_strings(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, step: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sa, interval): places of text in the order of their suffixes, and for each the first row of the
+    interval of suffixes that share its first length bytes; -1 where fewer remain before ends[place].
+
+    Letters are words of step bytes; step divides length (by default it is the largest divisor up to STEP).
+    """
+    step = step or max(d for d in range(1, STEP + 1) if length % d == 0)
+    if length % step:
+        raise ValueError(f"letters of {step} bytes don't divide {length}")
+    sa, before, nxt = transform(text, step, length)
+    return sa, np.where(ends[sa] - sa >= length, expand(before, nxt, length // step), -1)
 
 
 def _block(parts: list[tuple], length: int) -> tuple[list, pd.DataFrame | None]:
@@ -210,8 +229,9 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH)
         raise ValueError(f"length {length} is not from {GRAM} to {LENGTH}")
     prepare(docs.sparkSession)
     reach = length - GRAM
-    again = _anchors(docs, text, True, length).groupBy("h").count().filter("count > 1").select("h")
-    met = cut(_anchors(docs, text, False, length).join(again, "h", "left_semi"), "anchors")
+    # A table of its own: then the join can be split where one run has very many anchors.
+    again = cut(_anchors(docs, text, True, length).groupBy("h").count().filter("count > 1").select("h"), "again")
+    met = cut(_anchors(docs, text, False, length).hint("merge").join(again, "h", "left_semi"), "anchors")
     lo = F.greatest(F.lit(0), F.col("pos") - reach)
     same = cut(met.groupBy("h", "c").agg(F.min(F.struct("doc_id", "pos", "hi")).alias("f"), F.count("*").alias("n")), "contexts")
     later = met.join(same.filter("n > 1").select("h", "c", F.col("f.doc_id").alias("fd"), F.col("f.pos").alias("fp")), ["h", "c"])
