@@ -18,8 +18,10 @@ from treeloom.runtime import cut, prepare
 ROWS, BANDS = 6, 40
 #: Documents of a block that is held against another.
 TOGETHER = 512
-#: Bits of the broadcast bitmap of candidates: one megabyte.
-MARKS = 1 << 23
+#: Bits of the broadcast bitmap of candidates, least and most (32 megabytes), and bits a candidate between them.
+MARKS, MOST_MARKS, MARK_BITS = 1 << 23, 1 << 28, 16
+#: Pairs of one document that meet a copy of its set together.
+PAIRS = 256
 _rng = np.random.default_rng(20_260_101)
 _A = _rng.integers(0, 2**63, ROWS * BANDS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, ROWS * BANDS // 2, dtype=np.uint64)
@@ -72,14 +74,15 @@ def _signatures(docs: DataFrame, text: str, words: int) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, text: str, words: int) -> DataFrame:
     """(id, set) of the documents in ids, and of a few others. Texts are not shuffled: a bitmap of hashed ids
-    with MARKS bits, so of a fixed size, is broadcast, and tells which rows to look at. Where ids are so
-    many that it fills up, more rows pass; joins on id leave them out."""
+    of a checked size is broadcast, and tells which rows to look at. Where ids are so many that it fills
+    up, more rows pass; joins on id leave them out."""
+    bits = min(MOST_MARKS, max(MARKS, 1 << (MARK_BITS * ids.count()).bit_length()))
 
     def run(batches):
         for b in batches:
             yield pd.DataFrame({"id": b.iloc[:, 0], "set": [shingles(t, words).view(np.int64) for t in b.iloc[:, 1]]})
 
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     marks = ids.groupBy(F.bitmap_bucket_number(place("id")).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("id"))).alias("_bits"))
     own = docs.filter("doc_id is not null").select("doc_id", text, F.bitmap_bucket_number(place("doc_id")).alias("_bucket"), F.bitmap_bit_position(place("doc_id")).alias("_at"))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
@@ -88,16 +91,22 @@ def _sets(docs: DataFrame, ids: DataFrame, text: str, words: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets are similar enough."""
-    pairs = cut(pairs, "pairs")
+    """Of pairs (a, b, size) those whose full sets are similar enough; an a has at most size partners in any one
+    bucket. The sets of an a with many partners are copied, and its pairs dealt to the copies, so that a large
+    group of near copies burdens no task."""
+    copies = lambda c: F.ceil(F.col(c) / PAIRS)
+    pairs = cut(pairs.withColumn("part", F.pmod(F.xxhash64("b"), copies("size"))), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(_sets(docs, ids, text, words), "sets")
     # Merge joins at every size: the plan, and what it shuffles, doesn't hinge on a threshold.
+    several = cut(pairs.groupBy("a").agg(F.max("size").alias("size")), "several")
+    first = several.hint("merge").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    first = first.select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), copies("size") - 1)).alias("part"))
     both = pairs.hint("merge").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    both = both.hint("merge").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    both = both.hint("merge").join(first, ["a", "part"])
     n = F.size("sa") + F.size("sb")
     common = F.size(F.array_intersect("sa", "sb"))
-    return cut(both.withColumn("i", common).filter(100 * F.col("i") >= percent * (n - F.col("i"))).select("a", "b"), "verified")
+    return cut(both.withColumn("i", common).filter(100 * F.col("i") >= percent * (n - F.col("i"))).select("a", "b").distinct(), "verified")
 
 
 def _common_sizes(sets: DataFrame) -> DataFrame:
@@ -113,8 +122,8 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _between_components(rest: DataFrame, docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """(a, b): all links between different components of rest (band, id, n, component), whose members share
-    bands. Documents of which too large a part is found in no other one are out first. The others form
+    """(a, b): links that join all components of rest (band, id, n, component) between whose members there is a
+    link, where they share bands: one from a task for each two components. Documents of which too large a part is found in no other one are out first. The others form
     clusters, by shared bands; in a cluster all members but those of its largest component are held against
     all members, in blocks: a task gets two blocks at a time and emits links alone."""
     rest = cut(rest, "rest")
@@ -141,7 +150,7 @@ def _between_components(rest: DataFrame, docs: DataFrame, text: str, words: int,
         sizes = np.array([len(r[3]) for r in members])
         ids, component = np.array([r[1] for r in members]), np.array([r[2] for r in members])
         known, at = np.unique(np.concatenate([r[3] for r in members]), return_inverse=True)
-        starts, flag, out = np.r_[0, sizes.cumsum()[:-1]], np.zeros(len(known), np.int32), []
+        starts, flag, out = np.r_[0, sizes.cumsum()[:-1]], np.zeros(len(known), np.int32), {}
         for _, x, own, s in asking:
             k = np.minimum(np.searchsorted(known, s), len(known) - 1)
             k = k[known[k] == s]
@@ -149,8 +158,9 @@ def _between_components(rest: DataFrame, docs: DataFrame, text: str, words: int,
             common = np.add.reduceat(flag[at], starts)
             flag[k] = 0
             near = (100 * common >= percent * (sizes + len(s) - common)) & (component != own)
-            out += [(max(x, y), min(x, y)) for y in ids[near].tolist()]
-        return out
+            for y, other in zip(ids[near].tolist(), component[near].tolist(), strict=True):
+                out.setdefault((min(own, other), max(own, other)), (max(x, y), min(x, y)))
+        return list(out.values())
 
     def run(batches):
         held, last = [], None
@@ -167,7 +177,7 @@ def _between_components(rest: DataFrame, docs: DataFrame, text: str, words: int,
     return cut(dealt.mapInPandas(run, "a long, b long"), "between")
 
 
-def link_components(docs: DataFrame, *, text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def link_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     Documents with equal shingle sets form a class; only the least id of a class is searched. In each
@@ -177,9 +187,12 @@ def link_components(docs: DataFrame, *, text: str = "text", words: int = 5, perc
     a member.
 
     Null or empty text has no shingles and is linked with nothing. Rows that repeat a doc_id share its
-    component. Null doc_ids keep a null component and are kept. Extra columns are ignored.
+    component. Null doc_ids keep a null component and are kept. Whole texts are taken, however long. An empty
+    table gives an empty result. Other columns are ignored. Another column of longs may be the key.
     """
     prepare(docs.sparkSession)
+    docs = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
+    text = "text"
     sig = cut(_signatures(docs, text, words), "signatures")
     known = sig.filter("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
@@ -188,7 +201,7 @@ def link_components(docs: DataFrame, *, text: str = "text", words: int = 5, perc
     pivots = members.groupBy("band").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("m"), F.count("*").alias("size")).filter("size > 1")
     shared = cut(members.join(pivots, "band"), "shared")
     alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    pairs = shared.filter((F.col("id") != F.col("pivot")) & alike).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    pairs = shared.filter((F.col("id") != F.col("pivot")) & alike).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max("size").alias("size"))
     links = _verified(pairs, docs, text, words, percent)
     labels = components(links)
     labelled = shared.select("band", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
