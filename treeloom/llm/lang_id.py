@@ -23,6 +23,9 @@ from treeloom.runtime import prepare
 #: documents a language to learn from, EM rounds, and words (of 32 characters in the mean) that a worker
 #: remembers.
 PIECE_CHARS, SCALE_CHARS, LEARN_DOCS, EM_ROUNDS, CACHE_WORDS = 8, 16, 300, 3, 400_000
+#: Languages at most that are learned: those with the most labelled rows. With the vocabulary's pieces, which
+#: number VOCABULARY at most, this bounds the model, which is broadcast.
+LANGUAGES, VOCABULARY = 64, 100_000
 #: Added to each piece's expected count, and the probability of a character that is no known piece.
 SMOOTH, UNKNOWN = 0.05, 1e-7
 MARK = "▁"
@@ -36,7 +39,10 @@ def vocabulary(path: str) -> frozenset[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     words = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
-    return frozenset(w for w in words if w.replace(MARK, "", 1).isalpha())
+    found = frozenset(w for w in words if w.replace(MARK, "", 1).isalpha())
+    if len(found) > VOCABULARY:
+        raise ValueError(f"a vocabulary of {len(found)} pieces")
+    return found
 
 
 def reach(pieces) -> int:
@@ -123,20 +129,23 @@ def learn_pieces(counts: dict[str, int], pieces: frozenset[str], rounds: int = E
     return p
 
 
-def learn(docs: DataFrame, vocabulary_path: str, *, text: str = "text", lang: str = "lang", per_language: int = LEARN_DOCS) -> dict[str, dict[str, float]]:
-    """language -> piece -> probability, from a bounded sample: for each language the per_language rows of
-    docs that come first by the crc32 of their doc_id, with their whole texts.
+def learn(docs: DataFrame, vocabulary_path: str, *, text: str = "text", lang: str = "lang", per_language: int = LEARN_DOCS, languages: int = LANGUAGES) -> dict[str, dict[str, float]]:
+    """language -> piece -> probability, from a bounded sample: for each language the per_language documents
+    that come first by the crc32 of their doc_id, with their whole texts; of languages those with the most rows.
 
-    Rows with null text or language teach nothing. What reaches the driver is bounded by the vocabulary
-    and the number of languages.
+    Rows with null text, language or doc_id teach nothing. Rows that repeat doc_id, language and text teach once; those
+    that repeat a doc_id with another text or language are documents of their own. Without rows the model is
+    empty. Other columns are ignored. What reaches the driver is bounded by the vocabulary and languages.
     """
     prepare(docs.sparkSession)
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("_lang").orderBy("_key", "doc_id")
-    ids = labelled.select("doc_id", F.col(lang).alias("_lang"), F.crc32(F.col("doc_id").cast("string")).alias("_key"))
-    ids = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).select("doc_id", "_lang")
-    # per_language rows a language at most
-    taught = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    labelled = docs.select(docs["doc_id"], docs[lang].alias("lang"), docs[text].alias("text")).dropna()
+    most = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()]
+    labelled = labelled.filter(F.col("lang").isin(most)).withColumn("_h", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("_key", "doc_id", "_h")
+    ids = labelled.select("doc_id", "lang", "_h", F.crc32(F.col("doc_id").cast("string")).alias("_key"))
+    ids = ids.withColumn("_n", F.dense_rank().over(order)).filter(F.col("_n") <= per_language).select("doc_id", "lang", "_h").distinct()
+    # per_language rows for each of so many languages at most: LEARN_DOCS * LANGUAGES rows of three short columns
+    taught = labelled.join(F.broadcast(ids), ["doc_id", "lang", "_h"], "left_semi").dropDuplicates(["doc_id", "lang", "_h"]).select("lang", "text")
 
     def count(batches):
         for b in batches:
@@ -200,6 +209,7 @@ def identify(docs: DataFrame, model: dict[str, dict[str, float]], *, text: str =
 
     score is the language's posterior with equal priors. Null text, or one without a letter, gives ``und``
     and 0, and so does a model of no language. Whole texts are scored; ties go to the first language by name.
+    Repeated rows and null doc_ids are rows like others; an empty table gives an empty result.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
@@ -213,8 +223,8 @@ def identify(docs: DataFrame, model: dict[str, dict[str, float]], *, text: str =
         return pd.DataFrame([_scorers[mark].predict(t) for t in texts], columns=["lang_pred", "score"])
 
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out = docs.select(*own, predict(docs[text]).alias("_p"))
-    return out.select(*own, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+    out = docs.select(F.struct(*[docs[c] for c in own]).alias("r"), predict(docs[text]).alias("p"))
+    return out.select(*[F.col("r")[c].alias(c) for c in own], F.col("p.lang_pred").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
 def held_out():
