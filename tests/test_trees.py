@@ -186,6 +186,45 @@ def test_fast_and_resume(spark, source, tmp_path):
     assert same(source, dest)
 
 
+def test_interrupted_run_is_taken_up(spark, source, tmp_path):
+    """A task that was killed leaves an attempt: only what it lacks is sent, and what is left of it goes."""
+    dest, name = tmp_path / "dst", "model-00001-of-00002.safetensors"
+    whole = (source / name).read_bytes()
+    attempt = Path(stage_root(str(dest)), f"{name}.{'0af' * 10}00.attempt")
+    attempt.parent.mkdir(parents=True)
+    attempt.write_bytes(whole[:100_000] + bytes(50_000))
+    got = api.copy(spark, str(source), str(dest), pin=PIN)
+    assert same(source, dest) and not got["errors"] and got["total_bytes"] - 100_000 <= got["received_bytes"] < got["total_bytes"] - 80_000
+    assert not Path(stage_root(str(dest))).exists()
+
+
+def test_failed_file_is_told_and_kept(spark, source, tmp_path, monkeypatch):
+    from treeloom.plans import apply as applying
+
+    dest, f = tmp_path / "dst", source / "model-00002-of-00002.safetensors"
+    m = build(spark, str(source), pin=PIN)
+    data = f.read_bytes()
+    f.write_bytes(data[:120_000] + b"?" * 1000 + data[121_000:])
+    got = applying.apply(spark, m, str(source), str(dest), pin=PIN)
+    assert list(got["errors"]) == [f.name] and "changed" in got["errors"][f.name] and not (dest / f.name).exists() and (dest / "config.json").exists()
+    f.write_bytes(data)
+    monkeypatch.setattr(codec, "save", lambda *a: (_ for _ in ()).throw(OSError(28, "No space left on device")))
+    got = applying.apply(spark, m, str(source), str(dest), pin=PIN, verify=False)
+    assert not got["errors"] and len(got["warnings"]) == 1 and got["received_bytes"] < 60_000 and same(source, dest)
+
+
+def test_verify_tells_links(spark, source, tmp_path):
+    m = build(spark, str(source), pin=PIN)
+    os.symlink("loop", source / "loop")  # can't be resolved, for another reason than that it leads nowhere
+    os.symlink(source / "config.json", source / "more")
+    m.files.createOrReplaceTempView("own_files")
+    loop = spark.sql("SELECT replace(path, 'empty.txt', 'loop') AS path, size, mode, mtime_ns, role, digest, chunker FROM own_files WHERE path = 'empty.txt'")
+    from treeloom.manifests import Manifest
+
+    got = api.verify(spark, str(source), Manifest(m.header, m.model, m.files.union(loop), m.chunks), extra=True)
+    assert [(r.path, r.problem) for r in got["problems"].collect()] == [("loop", "unreadable")] and got["extra"].count() == 0
+
+
 def test_refusals(spark, source, tmp_path):
     for dest in (source, source / "in", source / ".in", source.parent):
         with pytest.raises(ValueError):
@@ -200,6 +239,11 @@ def test_cli(spark, source, tmp_path, capsys):
     dest = str(tmp_path / "dst")
     assert run("copy", str(source), dest, "--chunk-size", "4K", "--json") == 0
     assert json.loads(capsys.readouterr().out)["copy_files"] == 6
+    assert run("sync", str(source), dest, "--chunk-size", "4K", "--no-verify", "--no-progress", "--jobs", "2", "--manifest", str(tmp_path / "sent.json"), "--manifest-format", "json") == 0
+    assert api.load_manifest(spark, str(tmp_path / "sent.json")).model["files"] == 6
+    with pytest.raises(SystemExit):
+        run("--version")
+    assert "treeloom" in capsys.readouterr().out
     assert run("verify", dest) == 0 and run("manifest", str(source), "-o", str(tmp_path / "a.json")) == 0
     assert run("diff", str(tmp_path / "a.json"), str(tmp_path / "a.json"), "--exit-code") == 0
     assert "identical" in capsys.readouterr().out

@@ -35,13 +35,16 @@ def diff(old: Manifest | None, new: Manifest) -> tuple[DataFrame, DataFrame]:
     return rows.orderBy("path"), diffs.diff_totals(rows)
 
 
-def copy(spark: SparkSession, source: str, dest: str, options: Options = Options(), **how) -> dict:
-    """Brings dest to the source's state; how goes to build or apply. An empty source is an error."""
+def copy(spark: SparkSession, source: str, dest: str, options: Options = Options(), *, manifest: str | None = None, manifest_format: codec.Encoding = codec.Encoding.AUTO, **how) -> dict:
+    """Brings dest to the source's state; how goes to build or apply. An empty source is an error. manifest: a
+    file to which the source's manifest is written before."""
     build_keys = {k: how.pop(k) for k in ("pin", "algorithm", "hidden", "follow", "exclude", "name", "warnings") if k in how}
     applying.require_apart(source, dest)
     m = build(spark, source, **build_keys)
     if not m.model["files"]:
         raise ValueError(f"{source} holds no files")
+    if manifest:
+        save_manifest(m, manifest, manifest_format)
     return applying.apply(spark, m, source, dest, options, pin=build_keys.get("pin"), **how)
 
 
@@ -51,11 +54,14 @@ def sync(spark: SparkSession, source: str, dest: str, options: Options = Options
 
 def verify(spark: SparkSession, root: str, manifest: Manifest | None = None, *, quick: bool = False, extra: bool = False) -> dict[str, DataFrame]:
     """problems, bad_chunks, extra, totals. Files that are missing or have another size are not read, and
-    chunks are looked at only in files whose digest is wrong (not at all if quick)."""
+    chunks are looked at only in files whose digest is wrong (not at all if quick). What is there and can't be
+    looked at (an entry without rights, say) is unreadable; extra files are listed without following links."""
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
     m = (manifest or load_manifest(spark, root)).validate()
-    found = tree.entries(tree.scan(spark, root, hidden=True, follow=True)).withColumn("error", F.lit(None).cast("string"))
+    found = cut(tree.scan(spark, root, hidden=True, follow=True), "found")
+    denied = F.col("warning").startswith(tree.UNREADABLE)
+    found = found.filter("warning is null").select("path", "size", F.lit(None).cast("string").alias("error")).union(found.filter(denied).select("path", "size", F.expr(f"substring(warning, {len(tree.UNREADABLE) + 1})")))
     checked = cut(checks.stat_problems(m.files, found), "checked")
     read = checked.filter("problem is null").select("path", F.col("want_size").alias("size"))
     problems = cut(checks.digest_problems(checked, tree.digest_files(read, root, m.algorithm)), "problems")
@@ -65,6 +71,6 @@ def verify(spark: SparkSession, root: str, manifest: Manifest | None = None, *,
     ranges = m.chunks.join(failing.select("path"), "path", "left_semi")
     bad = cut(checks.bad_chunks(m.chunks, failing, tree.digest_ranges(ranges, root, m.algorithm)), "bad")
     out = {"problems": problems.orderBy("path"), "bad_chunks": bad.orderBy("path", "chunk_idx"), "totals": checks.verify_totals(m.files, problems, bad)}
-    listed = tree.entries(tree.scan(spark, root, hidden=True, follow=True))
+    listed = tree.entries(tree.scan(spark, root, hidden=True, follow=False))
     out["extra"] = checks.extra_files(listed, m.files).orderBy("path") if extra else listed.select("path").limit(0)
     return out

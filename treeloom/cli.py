@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from treeloom import api, report
+from treeloom import __version__, api, report
 from treeloom.functions.chunking import Options as ChunkOptions
 from treeloom.functions.units import parse_size
 from treeloom.manifests import build
@@ -28,6 +28,7 @@ def parse_atomic(name: str) -> str:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="treeloom")
+    p.add_argument("--version", action="version", version=f"treeloom {__version__}")
     p.add_argument("--verbose", action="store_true")
     p.add_argument("--quiet", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
@@ -47,8 +48,11 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("source")
         c.add_argument("dest")
         shared(c, True)
-        for flag in ("fast", "dry-run", "no-dedupe", "no-resume", "no-preserve-times"):
+        for flag in ("fast", "dry-run", "no-dedupe", "no-resume", "no-preserve-times", "no-verify", "no-progress"):
             c.add_argument(f"--{flag}", action="store_true")
+        c.add_argument("--manifest", help="write the source's manifest to this file")
+        c.add_argument("--manifest-format", type=parse_encoding, default="auto")
+        c.add_argument("--jobs", type=int, default=0, help="tasks at once, of a session that this command starts")
         c.add_argument("--atomic", type=parse_atomic, default="file")
         if name == "sync":
             c.add_argument("--delete", action=argparse.BooleanOptionalAction, default=True)
@@ -84,7 +88,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(argv)
     warnings: list[str] = []
     try:
-        spark = spark or SparkSession.builder.appName("treeloom").getOrCreate()
+        if spark is None:
+            builder = SparkSession.builder.appName("treeloom")
+            if getattr(a, "jobs", 0) > 0:
+                builder = builder.master(f"local[{a.jobs}]")
+            if a.quiet or getattr(a, "no_progress", False):
+                builder = builder.config("spark.ui.showConsoleProgress", "false")
+            spark = builder.getOrCreate()
         return _run(a, spark, warnings)
     except (OSError, ValueError) as x:
         print(f"error: {x}", file=sys.stderr)
@@ -118,7 +128,8 @@ def _run(a, spark: SparkSession, warnings: list[str]) -> int:
     source, dest = parse_endpoint(a.source).local_path, parse_endpoint(a.dest).local_path
     options = Options(dedupe=not a.no_dedupe, fast=a.fast, atomic=a.atomic, resume=not a.no_resume, delete=getattr(a, "delete", False))
     began = time.time()
-    got = api.copy(spark, source, dest, options, preserve_times=not a.no_preserve_times, dry_run=a.dry_run, **_build_options(a, warnings))
+    got = api.copy(spark, source, dest, options, manifest=a.manifest, manifest_format=a.manifest_format, preserve_times=not a.no_preserve_times, dry_run=a.dry_run, verify=not a.no_verify, **_build_options(a, warnings))
+    warnings += got["warnings"]
     say(report.as_json(got) if a.json else report.transfer_text(got, time.time() - began))
     for path, error in got["errors"].items():
         print(f"error: {path}: {error}", file=sys.stderr)

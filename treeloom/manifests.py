@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from treeloom import __version__
 from treeloom.functions.chunking import Options, header_options, options_column
-from treeloom.functions.hashing import blake3
+from treeloom.functions.hashing import Blake3
 from treeloom.functions.paths import display_name
 from treeloom.operators import layout
 from treeloom.operators.manifest import require_valid
@@ -64,7 +64,10 @@ def model_digest(files: DataFrame) -> bytes:
     """BLAKE3 of a line "path, size, hex digest" for each file, in the order of the paths' bytes."""
     line = F.concat_ws("\0", "path", F.col("size").cast("string"), F.coalesce(F.lower(F.hex("digest")), F.lit("0" * 64)))
     lines = files.select("path", F.concat(line, F.lit("\n")).alias("line")).orderBy("path").select("line")
-    return blake3("".join(r[0] for r in lines.toLocalIterator()).encode())
+    digest = Blake3()
+    for r in lines.toLocalIterator():
+        digest.update(r[0].encode())
+    return digest.digest()
 
 
 def build(spark: SparkSession, root: str, *, pin: Options | None = None, algorithm: str = "blake3", hidden: bool = False, follow: bool = True, exclude: list[str] = (), name: str | None = None, warnings: list[str] | None = None) -> Manifest:

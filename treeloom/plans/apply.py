@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -20,6 +21,10 @@ from treeloom.schemas import CHUNKS, MANIFEST_NAME, STAGE_DIR, STATE_DIR
 from treeloom.sources import codec, tree
 
 RESULTS = "path string, temp string, received_bytes long, reused_bytes long, error string"
+#: Bytes of chunks that are digested side by side, and source files that a task keeps open.
+TOGETHER, OPEN = 8 << 20, 8
+#: What the stage holds of a file: .part when a task got to its end, .attempt while it writes or was killed.
+STAGED = r"\.(?:part|[0-9a-f]{32}\.attempt)$"
 
 
 def require_apart(source: str, dest: str) -> None:
@@ -51,12 +56,12 @@ def inspect(spark: SparkSession, wanted: Manifest, dest: str, options: delta.Opt
     files = found.join(hashed.filter("chunk_idx = -1 and error is null").select("path", "digest"), "path", "left")
     staged = None
     if options.resume and os.path.isdir(stage_root(dest)):
-        parts = tree.entries(tree.scan(spark, stage_root(dest), hidden=True, follow=False)).filter(F.col("path").endswith(".part"))
-        parts = parts.withColumn("path", F.expr("substring(path, 1, length(path) - 5)")).select("path", "size")
+        parts = tree.entries(tree.scan(spark, stage_root(dest), hidden=True, follow=False)).filter(F.col("path").rlike(STAGED))
+        parts = parts.select(F.col("path").alias("file"), F.regexp_replace("path", STAGED, "").alias("path"), "size")
         whole = wanted.files.select("path", "size", *[F.col(f"chunker.{k}").alias(k) for k in ("avg_size", "min_size", "max_size")]).join(parts, ["path", "size"])
-        rows = tree.hash_files(whole.withColumn("path", F.concat("path", F.lit(".part"))), stage_root(dest), algorithm=wanted.algorithm, whole=False)
-        rows = rows.filter("error is null").withColumn("path", F.expr("substring(path, 1, length(path) - 5)"))
-        staged = cut(delta.staged_chunks(rows.drop("error"), wanted.chunks), "staged")
+        rows = tree.hash_files(whole.drop("path").withColumnRenamed("file", "path"), stage_root(dest), algorithm=wanted.algorithm, whole=False)
+        rows = rows.filter("error is null").select(F.regexp_replace("path", STAGED, "").alias("path"), F.col("path").alias("file"), "offset", "length", "digest")
+        staged = cut(delta.staged_chunks(rows, wanted.chunks), "staged")
     return files, hashed.filter("chunk_idx >= 0 and error is null").drop("error"), staged
 
 
@@ -65,9 +70,94 @@ def make_plan(spark: SparkSession, wanted: Manifest, dest: str, options: delta.O
     return delta.plan(wanted.files, wanted.chunks, *inspect(spark, wanted, dest, options, pin), options)
 
 
-def assemble(p: delta.Plan, wanted: Manifest, source: str, dest: str) -> DataFrame:
+def _sync(path: Path | str) -> None:
+    """Makes a file, or a folder's entries, durable."""
+    at = os.open(path, os.O_RDONLY)
+    try:
+        os.fsync(at)
+    finally:
+        os.close(at)
+
+
+class _Sources:
+    """Open files to read ranges of; the OPEN used last stay open."""
+
+    def __init__(self) -> None:
+        self.files: dict[Path, object] = {}
+
+    def read(self, path: Path, offset: int, length: int) -> bytes:
+        f = self.files.pop(path, None) or open(path, "rb")  # noqa: SIM115
+        self.files[path] = f
+        if len(self.files) > OPEN:
+            self.files.pop(next(iter(self.files))).close()
+        f.seek(offset)
+        return f.read(length)
+
+    def close(self) -> None:
+        while self.files:
+            self.files.popitem()[1].close()
+
+
+class _Assembly:
+    """One file that a task puts together, under a name that no other attempt shares, in place from its first
+    byte: what a killed task has written serves the next run."""
+
+    def __init__(self, path: str, stage: str, size: int, whole: bytes, algorithm: str, verify: bool):
+        self.path, self.stage, self.size, self.whole, self.algorithm, self.verify = path, stage, size, whole, algorithm, verify
+        final = Path(stage, path)
+        final.parent.mkdir(parents=True, exist_ok=True)
+        self.temp = f"{final}.{uuid.uuid4().hex}.attempt"
+        self.out = open(self.temp, "wb")  # noqa: SIM115
+        self.out.truncate(size)
+        self.sources, self.held, self.bytes, self.got, self.reused, self.error = _Sources(), [], 0, 0, 0, None
+
+    def add(self, name: Path, at: int, row) -> None:
+        if self.error is None:
+            try:
+                self.held.append((self.sources.read(name, at, int(row.length)), name, int(row.offset), bytes(row.digest), row.sent))
+                self.bytes += int(row.length)
+            except OSError as x:
+                self.error = str(x.strerror)
+            if self.bytes >= TOGETHER:
+                self.write()
+
+    def write(self) -> None:
+        """Writes what is held and has its digest."""
+        held, self.held, self.bytes = self.held, [], 0
+        for (data, name, offset, want, sent), digest in zip(held, tree.digest_many([h[0] for h in held], self.algorithm), strict=True):
+            if digest != want:
+                self.error = self.error or f"{name} changed since planning"
+                continue
+            self.out.seek(offset)
+            self.out.write(data)
+            if sent:
+                self.got += len(data)
+            else:
+                self.reused += len(data)
+
+    def finish(self) -> tuple:
+        """A row of RESULTS."""
+        self.write()
+        self.sources.close()
+        self.out.flush()
+        os.fsync(self.out.fileno())
+        self.out.close()
+        if self.error is None and self.verify:
+            own, n = tree.digester(self.algorithm), 0
+            with open(self.temp, "rb") as f:
+                while part := f.read(4 << 20):
+                    own.update(part)
+                    n += len(part)
+            if n != self.size or own.digest() != self.whole:
+                self.error = "the assembled file does not match its digest"
+        final = Path(self.stage, self.path + ".part")
+        os.replace(self.temp, final)  # what is right of it serves a later run
+        return self.path, str(final), self.got, self.reused, self.error
+
+
+def assemble(p: delta.Plan, wanted: Manifest, source: str, dest: str, verify: bool = True) -> DataFrame:
     """RESULTS of each file that is not skipped: the whole file under a temporary name, each chunk checked
-    before it is written and the whole again after. One task owns a file; chunks come in order.
+    before it is written and (with verify) the whole again after. One task owns a file; chunks come in order.
 
     Chunks that the destination holds are read there; needed ones, and ones that an earlier file of the
     same run brings, from the source. A task that is repeated writes under a name of its own.
@@ -80,58 +170,27 @@ def assemble(p: delta.Plan, wanted: Manifest, source: str, dest: str) -> DataFra
     chunks = chunks.join(sent, ["path", "digest"], "left").select("path", "chunk_idx", "offset", "length", "digest", F.coalesce("_sent", F.lit(False)).alias("sent"), "src_path", "src_offset", "origin")
     files = p.work.select("path", "size").join(wanted.files.select("path", F.col("digest").alias("whole")), "path")
     rows = files.join(chunks, "path", "left").repartition(F.col("path")).sortWithinPartitions("path", "offset")
-
-    def source_of(r):
-        if r.sent or not isinstance(r.src_path, str):
-            return Path(source, r.path), int(r.offset)
-        return (Path(stage, r.src_path + ".part") if r.origin == "staged" else Path(dest, r.src_path)), int(r.src_offset)
-
-    def finish(path, temp, out, size, whole, got, reused, error):
-        out.close()
-        if error is None:
-            own, n = tree.digester(algorithm), 0
-            with open(temp, "rb") as f:
-                while part := f.read(4 << 20):
-                    own.update(part)
-                    n += len(part)
-            if n != size or own.digest() != whole:
-                error = "the assembled file does not match its digest"
-        final = Path(stage, path + ".part")
-        os.replace(temp, final)  # what is right of it serves a later run
-        return path, str(final), got, reused, error
+    names = [c.split()[0] for c in RESULTS.split(", ")]
 
     def run(batches):
         now = None
         for b in batches:
             done = []
             for r in b.itertuples(index=False):
-                if now is None or now[0] != r.path:
+                if now is None or now.path != r.path:
                     if now:
-                        done.append(finish(*now))
-                    final = Path(stage, r.path)
-                    final.parent.mkdir(parents=True, exist_ok=True)
-                    temp = f"{final}.{uuid.uuid4().hex}.attempt"
-                    out = open(temp, "wb")  # noqa: SIM115
-                    out.truncate(int(r.size))
-                    now = [r.path, temp, out, int(r.size), bytes(r.whole), 0, 0, None]
-                if r.offset is None or pd.isna(r.offset) or now[7]:
+                        done.append(now.finish())
+                    now = _Assembly(r.path, stage, int(r.size), bytes(r.whole), algorithm, verify)
+                if r.offset is None or pd.isna(r.offset):
                     continue
-                try:
-                    name, offset = source_of(r)
-                    with open(name, "rb") as f:
-                        f.seek(offset)
-                        data = f.read(int(r.length))
-                    if tree.digest_many([data], algorithm)[0] != bytes(r.digest):
-                        raise OSError(5, f"{name} changed since planning")
-                    now[2].seek(int(r.offset))
-                    now[2].write(data)
-                    now[5 if r.sent else 6] += len(data)
-                except OSError as x:
-                    now[7] = str(x.strerror)
+                if r.sent or not isinstance(r.src_path, str):
+                    now.add(Path(source, r.path), int(r.offset), r)
+                else:
+                    now.add(Path(stage if r.origin == "staged" else dest, r.src_path), int(r.src_offset), r)
             if done:
-                yield pd.DataFrame(done, columns=[c.split()[0] for c in RESULTS.split(", ")])
+                yield pd.DataFrame(done, columns=names)
         if now:
-            yield pd.DataFrame([finish(*now)], columns=[c.split()[0] for c in RESULTS.split(", ")])
+            yield pd.DataFrame([now.finish()], columns=names)
 
     return rows.mapInPandas(run, RESULTS)
 
@@ -146,33 +205,38 @@ def prune_empty(folder: Path, stop: Path) -> None:
         folder = folder.parent
 
 
-def clean_stage(dest: str) -> None:
-    """Removes empty stage folders, deepest first; parts of interrupted files stay."""
+def clean_stage(dest: str, whole: bool) -> None:
+    """Removes empty stage folders, deepest first, and, if whole, what attempts left; parts of interrupted files stay
+    otherwise."""
     top = stage_root(dest)
-    for folder, _, _ in sorted(os.walk(top, topdown=False), key=lambda x: -x[0].count("/")):
+    for folder, _, names in os.walk(top, topdown=False):
+        for name in names if whole else ():
+            if re.search(STAGED, name):
+                Path(folder, name).unlink(missing_ok=True)
         try:
             os.rmdir(folder)
         except OSError:
             continue
 
 
-def apply(spark: SparkSession, wanted: Manifest, source: str, dest: str, options: delta.Options = delta.Options(), *, pin: ChunkOptions | None = None, preserve_times: bool = True, dry_run: bool = False) -> dict:
-    """Makes dest hold the wanted files. Returns totals, and errors by path.
+def apply(spark: SparkSession, wanted: Manifest, source: str, dest: str, options: delta.Options = delta.Options(), *, pin: ChunkOptions | None = None, preserve_times: bool = True, dry_run: bool = False, verify: bool = True) -> dict:
+    """Makes dest hold the wanted files. Returns totals, errors by path and warnings.
 
     Files are replaced in transfer order after they have been verified; with atomic "model" only if all
-    were. Extra files are deleted if asked, hidden and excluded ones too, as the plan lists them.
+    were. Contents and names are synced to disk. Extra files are deleted if asked, hidden and excluded ones too, as
+    the plan lists them. That the manifest can't be recorded at the destination is a warning only.
     """
     require_apart(source, dest)
     p = make_plan(spark, wanted, dest, options, pin)
     p = delta.Plan(cut(p.files, "plan-files"), cut(p.chunks, "plan-chunks"), cut(p.deletes, "plan-deletes"), cut(p.locations, "plan-locations"))
     out = p.totals.first().asDict()
     if dry_run:
-        return out | {"errors": {}}
+        return out | {"errors": {}, "warnings": []}
     os.makedirs(dest, exist_ok=True)
-    results = cut(assemble(p, wanted, source, dest), "results")
+    results = cut(assemble(p, wanted, source, dest, verify), "results")
     meta = wanted.files.select("path", "mode", "mtime_ns", role_rank(F.col("role")).alias("_rank"))
     errors = {r["path"]: r["error"] for r in results.filter("error is not null").toLocalIterator()}
-    written = 0
+    written, folders = 0, set()
     if not (errors and options.atomic == "model"):
         for r in results.filter("error is null").join(meta, "path").orderBy("_rank", "path").toLocalIterator():
             final = Path(dest, r["path"])
@@ -181,9 +245,12 @@ def apply(spark: SparkSession, wanted: Manifest, source: str, dest: str, options
             if preserve_times:
                 os.utime(r["temp"], ns=(r["mtime_ns"], r["mtime_ns"]))
             os.replace(r["temp"], final)
+            folders.add(final.parent)
             written += 1
+    for folder in folders:
+        _sync(folder)
     sums = results.filter("error is null").agg(F.coalesce(F.sum("received_bytes"), F.lit(0)), F.coalesce(F.sum("reused_bytes"), F.lit(0))).first()
-    out |= {"written_files": written, "received_bytes": sums[0], "reused_bytes": sums[1], "deleted_files": 0, "errors": errors}
+    out |= {"written_files": written, "received_bytes": sums[0], "reused_bytes": sums[1], "deleted_files": 0, "errors": errors, "warnings": []}
     if not errors:
         for r in p.deletes.toLocalIterator():
             gone = Path(dest, r["path"])
@@ -192,6 +259,9 @@ def apply(spark: SparkSession, wanted: Manifest, source: str, dest: str, options
             out["deleted_files"] += 1
         m = wanted.as_dict()
         m["model"] = {**m["model"], "root": dest}
-        codec.save(codec.state_path(dest, MANIFEST_NAME), m)
-    clean_stage(dest)
+        try:
+            codec.save(codec.state_path(dest, MANIFEST_NAME), m)
+        except OSError as x:
+            out["warnings"].append(f"the manifest could not be recorded: {x.strerror}")
+    clean_stage(dest, not errors)
     return out

@@ -62,12 +62,13 @@ def sources(state: DataFrame, wanted_chunks: DataFrame, dest: DataFrame, dest_ch
         own = wanted_chunks.join(known.filter("trusted"), "path", "left_semi")
         out = out.union(own.select("digest", F.col("path").alias("src_path"), "offset", "length", F.lit("global")))
     if staged is not None and options.resume:
-        out = out.union(staged.select("digest", F.col("path").alias("src_path"), "offset", "length", F.lit("staged")))
+        out = out.union(staged.select("digest", F.col("file" if "file" in staged.columns else "path").alias("src_path"), "offset", "length", F.lit("staged")))
     return out
 
 
 def staged_chunks(staged: DataFrame, wanted_chunks: DataFrame) -> DataFrame:
-    """Of the chunks found in staged files those that the manifest has at that very place."""
+    """Of the chunks found in staged files (path: the file that each is of; file: its own name) those that the
+    manifest has at that very place."""
     return staged.join(wanted_chunks.select("path", "offset", "length", "digest"), ["path", "offset", "length", "digest"])
 
 

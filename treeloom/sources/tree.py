@@ -25,6 +25,8 @@ from treeloom.schemas import STATE_DIR
 
 #: Subtrees that the driver looks for before it deals them out, and file bytes that one task reads.
 SUBTREES, TASK_BYTES = 64, 256 << 20
+#: How the warning of an entry begins whose metadata can't be read; the reason follows.
+UNREADABLE = "unreadable: "
 HASHED = "path string, chunk_idx int, offset long, length long, digest binary, error string"
 
 
@@ -84,19 +86,22 @@ class _TreeReader(DataSourceReader):
                     s = e.stat(follow_symlinks=False)
                     if stat.S_ISLNK(s.st_mode):
                         if not self.follow:
-                            rows.append((path, None, None, None, "skipping symlink"))
+                            rows.append((path, None, None, None, "left out, as links are not followed"))
                             continue
                         s = os.stat(e.path)
                         if stat.S_ISDIR(s.st_mode):
-                            rows.append((path, None, None, None, "skipping directory symlink"))
+                            rows.append((path, None, None, None, "left out, a link to a folder"))
                             continue
+                except FileNotFoundError:
+                    rows.append((path, None, None, None, "left out, a link to nothing"))
+                    continue
                 except OSError as x:
-                    rows.append((path, None, None, None, f"skipping unresolvable symlink: {x.strerror}"))
+                    rows.append((path, None, None, None, f"{UNREADABLE}{x.strerror}"))
                     continue
                 if stat.S_ISREG(s.st_mode):
                     rows.append((path, s.st_size, stat.S_IMODE(s.st_mode), s.st_mtime_ns, None))
                 else:
-                    rows.append((path, None, None, None, "skipping non-regular file"))
+                    rows.append((path, None, None, None, "left out, neither file nor folder"))
         return folders, rows
 
     def partitions(self) -> list[InputPartition]:
