@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from treeloom.functions import chunking, hashing, paths, units
 from treeloom.operators import diff, layout, manifest, verify
 from treeloom.plans import delta
-from treeloom.runtime import prepare
+from treeloom.runtime import cut, prepare
 
 DAY = "1995-06-17"
 ROLES = ["config", "index", "tokenizer", "metadata", "other", "weight"]
@@ -27,11 +27,9 @@ def _path(key: str) -> Column:
     return F.lpad(F.col(key).cast("string"), 12, "0")
 
 
-def item_chunks(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+def item_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, key, chunk_idx, offset, length, digest."""
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate", "l_partkey", "l_quantity")
-    if before:
-        items = items.filter(F.col("l_shipdate") < F.lit(before).cast("timestamp"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate")
     length = F.col("l_quantity").cast("long")
     rows = items.select("l_orderkey", F.row_number().over(order).alias("chunk_idx"), F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), length.alias("length"), F.col("l_partkey").alias("digest"))
@@ -67,10 +65,31 @@ WITH items AS (
 )"""
 
 
+def states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(had files, had chunks, wanted files, wanted chunks). The items are read and ordered once for both states, and
+    their tables are cut, as plans use them many times."""
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate", "l_partkey", F.col("l_quantity").cast("long").alias("length"))
+    early = F.col("l_shipdate") < F.lit(DAY).cast("timestamp")
+    items = items.withColumn("early", F.coalesce(early, F.lit(False)))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(order), F.lit(0))
+    rows = items.select("l_orderkey", "length", F.col("l_partkey").alias("digest"), "early", before(F.lit(1)).alias("wi"), before("length").alias("wo"), before(F.col("early").cast("int")).alias("hi"), before(F.when(F.col("early"), F.col("length")).otherwise(0)).alias("ho"))
+    rows = cut(rows.select(_path("l_orderkey").alias("path"), F.col("l_orderkey").alias("key"), "length", "digest", "early", "wi", "wo", "hi", "ho"), "items")
+    chunks = lambda i, o: [F.col("path"), F.col("key"), (F.col(i) + 1).cast("int").alias("chunk_idx"), F.col(o).alias("offset"), F.col("length"), F.col("digest")]
+    wc, hc = rows.select(*chunks("wi", "wo")), rows.filter("early").select(*chunks("hi", "ho"))
+    of = lambda i: F.col("digest") * (F.col(i) + 1)
+    sums = rows.groupBy("key").agg(F.sum("length").alias("ws"), F.sum(of("wi")).alias("wd"), F.sum(F.when(F.col("early"), F.col("length"))).alias("hs"), F.sum(F.when(F.col("early"), of("hi"))).alias("hd"))
+    role = F.element_at(F.array(*map(F.lit, ROLES)), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    files = read(spark, sf_dir, "orders").select(_path("o_orderkey").alias("path"), F.col("o_orderkey").alias("key"), role.alias("role")).join(sums, "key", "left")
+    zero = lambda c, n: F.coalesce(F.col(c), F.lit(0)).alias(n)
+    files = cut(files.select("path", "key", *[zero(c, c) for c in ("ws", "wd", "hs", "hd")], "role"), "files")
+    state = lambda size, digest: files.select("path", "key", F.col(size).alias("size"), F.col(digest).alias("digest"), "role")
+    return state("hs", "hd"), hc, state("ws", "wd"), wc
+
+
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(had files, had chunks, wanted files, wanted chunks) of the diff: some files are on one side alone."""
-    hc, wc = item_chunks(spark, sf_dir, DAY), item_chunks(spark, sf_dir)
-    hf, wf = order_files(spark, sf_dir, hc), order_files(spark, sf_dir, wc)
+    hf, hc, wf, wc = states(spark, sf_dir)
     return hf.filter("key % 10 <> 3"), hc.filter("key % 10 <> 3"), wf.filter("key % 10 <> 7"), wc.filter("key % 10 <> 7")
 
 
@@ -265,8 +284,7 @@ def display_name(spark, sf_dir):
 
 
 def _plan(spark: SparkSession, sf_dir: str, **options) -> delta.Plan:
-    wc, hc = item_chunks(spark, sf_dir), item_chunks(spark, sf_dir, DAY)
-    wf, hf = order_files(spark, sf_dir, wc), order_files(spark, sf_dir, hc)
+    hf, hc, wf, wc = states(spark, sf_dir)
     wanted = wf.filter("key % 10 <> 7").select("path", "size", (F.col("key") % 5).alias("mtime_ns"), "role", "digest")
     dest = hf.filter("key % 10 <> 3").select("path", "size", (F.col("key") % 3).alias("mtime_ns"), "digest")
     cols = ["path", "chunk_idx", "offset", "length", "digest"]
