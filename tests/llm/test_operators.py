@@ -191,8 +191,8 @@ def test_secrets(which, request):
 def test_secrets_randomness(spark):
     r = random.Random(9)
     b62 = secret_scan.BASE62
-    real = ["".join(r.choice(b62) for _ in range(n)) for n in (32, 40, 64)] + ["".join(r.choice("0123456789abcdef") for _ in range(64)) for _ in range(3)]
-    plain = ["internationalization_of_the_web_2024", "aaaaaaaaaaaaaaaaaaaaaaaa1", "src/main/java/org/example/util2/StringUtils", "this-is-a-long-slug-for-an-article-2023-about-cats", "abcabcabcabcabcabcabcabc123123123123"]
+    real = ["".join(r.choice(b62) for _ in range(n)) for n in (32, 40, 64)] + ["".join(r.choice(b62[:52]) for _ in range(30))] + ["".join(r.choice("0123456789abcdef") for _ in range(64)) for _ in range(3)]
+    plain = ["internationalization_of_the_web_2024", "aaaaaaaaaaaaaaaaaaaaaaaa1", "src/main/java/org/example/util2/StringUtils", "this-is-a-long-slug-for-an-article-2023-about-cats", "abcabcabcabcabcabcabcabc123123123123", "12345678901234567890", "3141592653589793238462643383279", "internationalizations", "Donaudampfschifffahrtsgesellschaft", "THIS_IS_A_CONSTANT_OF_THE_PROGRAM", "ACGTACGTTAGCATCGATCGATTAGC"]
     texts = [f"key é {x} end" for x in real] + [f"see {x} end" for x in plain] + ["many " + "x0 y " * 3000 + real[0]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x for x in secret_scan.scan_secrets(df).collect()}

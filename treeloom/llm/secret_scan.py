@@ -57,30 +57,33 @@ def _located(df: DataFrame, found: dict[str, str]) -> DataFrame:
 
 def _battery(df: DataFrame, name: str) -> DataFrame:
     """Replaces the candidates by (s, e, c, b, ok): length class, bin of the ordinary text's z, and whether
-    the battery finds no departure from randomness. Only runs with a letter and a digit are tested."""
+    the battery finds no departure from randomness. Every run is tested: one without a digit, or without a
+    letter, departs from its alphabet's share of digits if it is long enough to tell."""
     quoted = {k: f"'{v}'" for k, v in {"hex": HEX16, "b32": BASE32, "b36": BASE36, "b62": BASE62, "b64": BASE64}.items()}
     halves = {k: "0" * (len(v) // 2) + "1" * (len(v) - len(v) // 2) for k, v in (("hex", HEX16), ("b32", BASE32), ("b36", BASE36), ("b62", BASE62), ("b64", BASE64))}
     enc = "CASE WHEN c.x rlike '^([0-9a-f]+|[0-9A-F]+)$' THEN 'hex' WHEN c.x rlike '^[A-Z2-7]+$' THEN 'b32' WHEN c.x rlike '^([0-9a-z]+|[0-9A-Z]+)$' THEN 'b36' WHEN c.x rlike '^[0-9A-Za-z]+$' THEN 'b62' ELSE 'b64' END"
     pick = lambda d: "CASE c.t " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in d.items()) + " END"
+    digits = {k: f"{sum(x.isdigit() for x in v) / len(v)!r}D" for k, v in (("hex", HEX16), ("b32", BASE32), ("b36", BASE36), ("b62", BASE62), ("b64", BASE64))}
     stage = [
-        f"transform(filter({name}, c -> c.m rlike '[0-9]' AND c.m rlike '[A-Za-z]'), c -> named_struct('s', c.s, 'e', c.e, 'x', regexp_replace(c.m, '=+$', '')))",
+        f"transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'x', regexp_replace(c.m, '=+$', '')))",
         f"transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'x', c.x, 't', {enc}))",
         f"transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'x', CASE WHEN c.t IN ('hex', 'b36') THEN lower(c.x) WHEN c.t = 'b64' THEN translate(c.x, '-_', '+/') ELSE c.x END, 't', c.t, 'alpha', {pick(quoted)}, 'half', {pick({k: f"'{v}'" for k, v in halves.items()})}))",
         f"""transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'n', cast(length(c.x) AS double), 'k', cast(length(c.alpha) AS double),
+            'pd', {pick(digits)}, 'nd', cast(length(c.x) - length(translate(c.x, '0123456789', '')) AS double),
             'q', aggregate(array_distinct(filter(split(c.x, ''), h -> h <> '')), 0D, (a, h) -> a + pow(length(c.x) - length(replace(c.x, h, '')), 2)),
             'v', transform(filter(split(c.x, ''), h -> h <> ''), h -> cast(instr(c.alpha, h) - 1 AS double)), 'bits', translate(c.x, c.alpha, c.half)))""",
-        f"""transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'k', c.k, 'chi', c.k / c.n * c.q - c.n,
+        f"""transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'k', c.k, 'chi', c.k / c.n * c.q - c.n, 'zd', (c.nd - c.n * c.pd) / sqrt(c.n * c.pd * (1 - c.pd)),
             'n1', cast(length(replace(c.bits, '0', '')) AS double), 'runs', cast(length(regexp_replace(c.bits, '0+|1+', 'x')) AS double),
             'ser', aggregate(zip_with(slice(c.v, 1, size(c.v) - 1), slice(c.v, 2, size(c.v) - 1), (a, b) -> (a - (c.k - 1) / 2) * (b - (c.k - 1) / 2)), 0D, (a, x) -> a + x)))""",
-        f"""transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'chi', c.chi, 'df', c.k - 1,
+        f"""transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'chi', c.chi, 'zd', c.zd, 'df', c.k - 1,
             'lam', c.n * (c.k * IF(c.k < 32, {COINCIDENCE_SMALL}D, {COINCIDENCE}D) - 1),
             'mu', 2 * c.n1 * (c.n - c.n1) / c.n + 1, 'runs', c.runs, 'zs', c.ser / sqrt(c.n - 1) / ((c.k * c.k - 1) / 12)))""",
-        f"""transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n,
+        f"""transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'zd', c.zd,
             'zc', (cbrt(c.chi / c.df) - (1 - 2 / (9 * c.df))) / sqrt(2 / (9 * c.df)),
             'zr', (c.runs - c.mu) / sqrt(greatest((c.mu - 1) * (c.mu - 2) / (c.n - 1), 0.25D)), 'zs', c.zs,
             'zo', (c.chi - c.df - c.lam) / sqrt(2 * (c.df + 2 * c.lam))))""",
         f"""transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'c', {' + '.join(f'IF(c.n >= {n}, 1, 0)' for n in LENGTHS)},
-            'b', cast(ceil(greatest(least(c.zo, {Z_HIGH}D), {Z_LOW}D) * {BINS}) AS int), 'ok', greatest(c.zc, abs(c.zr), abs(c.zs)) <= {BATTERY_Z}D))""",
+            'b', cast(ceil(greatest(least(c.zo, {Z_HIGH}D), {Z_LOW}D) * {BINS}) AS int), 'ok', greatest(c.zc, abs(c.zd), abs(c.zr), abs(c.zs)) <= {BATTERY_Z}D))""",
     ]
     for s in stage:
         df = df.select(*[c for c in df.columns if c != name], F.expr(s).alias(name))
@@ -107,8 +110,8 @@ def _joined(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, *, text: str = "text", fdr: float = FDR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random for each row of docs.
 
-    Base spans come from the patterns. A random span is a run of encoding symbols with a letter and a digit
-    whose symbols, in the alphabet inferred for it, pass a chi-squared uniformity test, a runs test and a
+    Base spans come from the patterns. A random span is a run of 20 or more encoding symbols which, in the
+    alphabet inferred for it, pass a chi-squared uniformity test, one of the share of digits, a runs test and a
     serial-correlation test, and whose uniformity is a discovery against ordinary text: the chi-squared
     statistic of ordinary text grows with the length, so short runs need more; discoveries are controlled
     in each length class over all rows. The class histograms have a fixed size and alone reach the driver.
