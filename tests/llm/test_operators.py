@@ -389,7 +389,7 @@ def brute_templates(line):
     return [(s, (n, *k)) for s, k in out]
 
 
-def brute_lines(rows):
+def brute_lines(rows, documents=2):
     """(doc_id, n_lines, n_dropped, text) of each row; a doc_id that repeats is one document."""
     docs, count, first, short = defaultdict(set), Counter(), {}, {}
     for r, (d, t) in enumerate(rows):
@@ -402,7 +402,7 @@ def brute_lines(rows):
                 first.setdefault((r, k), i)
                 seen.add(k)
                 short[k] = s
-    recurs = {k for k in docs if len(docs[k]) > 1 and count[k] >= 2 + short[k]}
+    recurs = {k for k in docs if len(docs[k]) > 1 and count[k] >= documents + short[k]}
     out = []
     for r, (d, t) in enumerate(rows):
         lines = [] if t is None else t.split("\n")

@@ -20,7 +20,7 @@ def brute_stage(spark, name, rows, docs, items):
         scorer = lang_id.Scorer(model)
         return Counter((d, t) for d, t in rows if re.search(r"[^\W\d_]", t or "") and scorer.predict(t)[1] >= 0.5)
     if name == "line_dedup":
-        return Counter((d, c) for d, _, n, c in brute_lines(rows) if n == 0 or c.strip())
+        return Counter((d, c) for d, _, n, c in brute_lines(rows, 3) if n == 0 or c.strip())
     if name == "near_duplicates":
         of = brute_components([(r, t) for r, (_, t) in enumerate(rows)], 5, 80)
         groups = {}
