@@ -20,6 +20,9 @@ from treeloom.runtime import cut, new_path
 ORACLE_SQL = None
 #: Least score of a document's language: it must be more likely than all others together.
 LEAST_SCORE = 0.5
+#: Documents in which a line recurs. Copies of one document are the matter of the near-duplicate stage: were a line
+#: of two documents dropped, it would get the remnants of near copies, which resemble nothing.
+LINE_DOCUMENTS = 3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go, and documents that had nothing else; n_chars follows the text."""
     given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"], docs["text"])
-    out = line_dedup.drop_recurring_lines(given)
+    out = line_dedup.drop_recurring_lines(given, documents=LINE_DOCUMENTS)
     out = out.filter((F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
     own = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in own:
