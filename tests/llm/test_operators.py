@@ -87,8 +87,10 @@ def test_frequent_lengths_are_counted(spark, documents):
     table = token_counts.frequent_lengths(df, path)
     assert table["often"] == 1 and table["unbelievablyodd"] > 1 and "x" * 60 not in table
     table = token_counts.frequent_lengths(documents, path)
-    texts = " ".join(t for t, in documents.select("text").collect() if t).split(" ")
-    assert sum(t in table for t in texts) > 0.9 * len(texts)
+    counts = Counter(c for t, in documents.select("text").collect() if t for c in pieces.chunks(t)[1] if len(c) <= pieces.CACHE_CHARS)
+    often = {c: n for c, n in counts.items() if n > 1}
+    assert set(table) == set(often) and sum(often.values()) > 0.7 * counts.total()
+    assert all(table[c] == len(i) for c, i in zip(often, library([c if c[:1] == "\n" else " " + c for c in often]), strict=True))
 
 
 def packed(got, df, capacity):

@@ -24,8 +24,8 @@ def frequent_lengths(docs: DataFrame, tokenizer_path: str, *, text: str = "text"
     """First tier: the most frequent pre-tokens of a bounded sample of docs, with their token counts.
 
     The sample is the whole texts of the first SAMPLE_ROWS rows of SAMPLE_PARTS partitions, which are spread
-    over the table. They are counted in each task, summed by pre-token, and the FREQUENT most frequent come to
-    the driver. The sample settles which pre-tokens need no encoding, not any count.
+    over the table. They are counted in each task, summed by pre-token, and of those that occur again the
+    FREQUENT most frequent come to the driver. The sample settles which pre-tokens need no encoding, not any count.
     """
     parts = docs.rdd.getNumPartitions()
     step = max(1, parts // SAMPLE_PARTS)
@@ -43,7 +43,7 @@ def frequent_lengths(docs: DataFrame, tokenizer_path: str, *, text: str = "text"
         yield pd.DataFrame({"chunk": list(counts), "n": list(counts.values())}).astype({"chunk": "object", "n": "int64"})
 
     some = docs.select(text).filter((F.spark_partition_id() % step == 0) & (F.spark_partition_id() < step * SAMPLE_PARTS))
-    most = some.mapInPandas(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "chunk").limit(FREQUENT)
+    most = some.mapInPandas(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.col("n").desc(), "chunk").limit(FREQUENT)
     found = [r[0] for r in most.collect()]
     encoded = tokenizer(tokenizer_path).encode_batch([c if c[:1] == "\n" else " " + c for c in found], add_special_tokens=False)
     table = {c: len(e.ids) for c, e in zip(found, encoded, strict=True)}
