@@ -24,7 +24,7 @@ def _factor(suffix: str) -> int:
 
 
 def parse_size(text: str) -> int:
-    """Bytes of "4096", "64K", "1MiB" or "2.5g": letters alone and IEC suffixes are binary, SI ones decimal."""
+    """Bytes of "10", "3k", "7kib" or "0.5TB": letters alone and IEC suffixes are binary, SI ones decimal."""
     number, suffix = _SIZE.match(text.strip().lower()).groups()
     try:
         if "_" in number:

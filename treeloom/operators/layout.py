@@ -103,5 +103,5 @@ def totals(files: DataFrame, *keys: str) -> DataFrame:
 
 def describe(kind: str, name: str, total_files: int, weight_files: int, shards: int) -> str:
     called = f' "{name}"' if name else ""
-    sets = f", {shards} shard set(s)" if shards else ""
-    return f"{kind}{called}, {total_files} files, {weight_files} weight file(s){sets}"
+    sets = f"; shard sets: {shards}" if shards else ""
+    return f"{kind}{called}: {weight_files} of {total_files} files hold weights{sets}"
