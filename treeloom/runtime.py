@@ -10,10 +10,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: documents may be large, so batches stay small.
 ARROW_ROWS = 256
+#: A value of a key that holds more than this part of the rows of a join is dealt to slices.
+SLICES = 1000
 _tables: list[tuple[SparkSession, str]] = []
 
 
@@ -69,6 +72,21 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, deal: list[str | Column], how: str = "inner") -> DataFrame:
+    """rows joined with groups, a table with one row for each value of keys and the number of its rows in column
+    size, which goes. A value that holds more than one part in SLICES of the rows that groups counts is dealt to
+    slices by a hash of deal, columns of rows, so that no value burdens a task. There are fewer than SLICES such
+    values, whatever the tables' size, so they are broadcast; all else meets in a merge join.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 1
+    slices = F.ceil(F.col(size) * SLICES / F.lit(total))
+    hot = groups.filter(F.col(size) * SLICES > total).select(*keys, slices.alias("_slices"))
+    slice_ = F.when(F.col("_slices").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*deal), F.col("_slices")))
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_slice", slice_).drop("_slices")
+    groups = groups.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(slices, F.lit(1)) - 1))).drop(size)
+    return rows.hint("merge").join(groups, [*keys, "_slice"], how).drop("_slice")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
