@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.runtime import cut, prepare
+from treeloom.runtime import cut, join_groups, prepare
 
 #: Links that one task joins up; a graph of more is dealt to several.
 TASK_LINKS = 500_000
@@ -18,9 +18,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         sides = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         sides = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # A table of its own: then the join can be split where one node has very many links.
-    least = cut(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-    near = sides.hint("merge").join(least, "u")
+    least = cut(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n")), "least")
+    near = join_groups(sides, least, ["u"], "_n", ["v"])
     out = near.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else near.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.filter("a > b").distinct()
 
