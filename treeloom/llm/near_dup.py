@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm.components import components
-from treeloom.runtime import cut, prepare
+from treeloom.runtime import cut, join_groups, prepare
 
 #: Values of a band, and bands. A pair of similarity 0.85 shares no band with probability 6e-9, one of 0.8
 #: with 5e-6. Each permutation gives two values, so 120 are evaluated for 240 values.
@@ -117,8 +117,8 @@ def _common_sizes(sets: DataFrame) -> DataFrame:
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """Of rows (band, id, n, component) those of bands with several components, with the band's least id."""
-    bands = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("pivot")).filter("lo < hi")
-    return rows.join(bands.select("band", "pivot"), "band")
+    bands = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("pivot"), F.count("*").alias("_n")).filter("lo < hi")
+    return join_groups(rows, cut(bands.select("band", "pivot", "_n"), "mixed"), ["band"], "_n", ["id"])
 
 
 def _between_components(rest: DataFrame, docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
@@ -195,21 +195,24 @@ def link_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     text = "text"
     sig = cut(_signatures(docs, text, words), "signatures")
     known = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
+    classes = cut(known.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("_n")), "classes")
     reps = known.join(classes.select(F.col("id").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
     members = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     pivots = members.groupBy("band").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("m"), F.count("*").alias("size")).filter("size > 1")
-    shared = cut(members.join(pivots, "band"), "shared")
+    pivots = cut(pivots.withColumn("_n", F.col("size")), "pivots")
+    shared = cut(join_groups(members, pivots, ["band"], "_n", ["id"]), "shared")
     alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     pairs = shared.filter((F.col("id") != F.col("pivot")) & alike).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max("size").alias("size"))
     links = _verified(pairs, docs, text, words, percent)
     labels = components(links)
     labelled = shared.select("band", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = cut(labelled, "labelled")
     more = _between_components(_mixed(labelled).drop("pivot"), docs, text, words, percent)
     # Stars of the components so far, and the links between them, make the final ones.
     labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    of_class = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
+    of_class = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_hash", "_n", F.coalesce("component", "id").alias("component"))
     # A class may have an id that another class holds too, if a doc_id repeats with other text.
-    out = known.join(of_class, "set_hash").groupBy("doc_id").agg(F.min("component").alias("component"))
+    of_class = cut(of_class, "of_class")
+    out = join_groups(known.select("doc_id", "set_hash"), of_class, ["set_hash"], "_n", ["doc_id"]).groupBy("doc_id").agg(F.min("component").alias("component"))
     out = sig.join(out, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).alias("kept"))
