@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm.near_dup import mix
-from treeloom.runtime import cut, prepare
+from treeloom.runtime import cut, join_groups, prepare
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a text that are hashed at once, context bytes of a block, contexts of a run that share a block.
@@ -229,16 +229,16 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH)
         raise ValueError(f"length {length} is not from {GRAM} to {LENGTH}")
     prepare(docs.sparkSession)
     reach = length - GRAM
-    # A table of its own: then the join can be split where one run has very many anchors.
-    again = cut(_anchors(docs, text, True, length).groupBy("h").count().filter("count > 1").select("h"), "again")
-    met = cut(_anchors(docs, text, False, length).hint("merge").join(again, "h", "left_semi"), "anchors")
+    again = cut(_anchors(docs, text, True, length).groupBy("h").count().filter("count > 1"), "again")
+    met = cut(join_groups(_anchors(docs, text, False, length), again, ["h"], "count", ["doc_id", "pos"]), "anchors")
     lo = F.greatest(F.lit(0), F.col("pos") - reach)
     same = cut(met.groupBy("h", "c").agg(F.min(F.struct("doc_id", "pos", "hi")).alias("f"), F.count("*").alias("n")), "contexts")
-    later = met.join(same.filter("n > 1").select("h", "c", F.col("f.doc_id").alias("fd"), F.col("f.pos").alias("fp")), ["h", "c"])
+    earlier = same.filter("n > 1").select("h", "c", "n", F.col("f.doc_id").alias("fd"), F.col("f.pos").alias("fp"))
+    later = join_groups(met, earlier, ["h", "c"], "n", ["doc_id", "pos"])
     later = later.filter((F.col("doc_id") > F.col("fd")) | ((F.col("doc_id") == F.col("fd")) & (F.col("pos") > F.col("fp")))).select("doc_id", lo.cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
-    several = same.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    several = cut(same.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").withColumn("_n", F.col("k")), "several")
     parts = F.ceil(F.col("k") / TOGETHER)
-    each = same.join(several, "h").select("h", F.pmod(F.col("c"), parts).alias("part"), (parts > 1).alias("wide"), F.col("f.doc_id").alias("doc_id"), F.greatest(F.lit(0), F.col("f.pos") - reach).alias("lo"), F.col("f.hi").alias("hi"))
+    each = join_groups(same, several, ["h"], "_n", ["c"]).select("h", F.pmod(F.col("c"), parts).alias("part"), (parts > 1).alias("wide"), F.col("f.doc_id").alias("doc_id"), F.greatest(F.lit(0), F.col("f.pos") - reach).alias("lo"), F.col("f.hi").alias("hi"))
     wanted = each.groupBy("doc_id").agg(F.collect_list(F.struct("h", "part", "wide", "lo", "hi")).alias("wanted"))  # bounded by the document's length
 
     def slices(batches):
@@ -256,7 +256,7 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH)
     inside = found.filter("hi is not null").select("doc_id", "lo", "hi")
     firsts = found.filter("hi is null")
     winners = firsts.groupBy("x", "y").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    across = firsts.join(winners, ["x", "y"]).filter(F.struct("doc_id", "lo") > F.col("f")).select("doc_id", "lo", (F.col("lo") + length).alias("hi"))
+    across = join_groups(firsts, cut(winners, "winners"), ["x", "y"], "n", ["doc_id", "lo"]).filter(F.struct("doc_id", "lo") > F.col("f")).select("doc_id", "lo", (F.col("lo") + length).alias("hi"))
     return later.union(inside).union(across)
 
 
