@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm.near_dup import mix
-from treeloom.runtime import cut, prepare
+from treeloom.runtime import cut, join_groups, prepare
 
 #: Leading tokens of the tree, leading tokens that templates of every other place fix, least tokens of a
 #: line with variable fields, and of a longer one, documents that make a template recur.
@@ -139,11 +139,10 @@ def drop_recurring_lines(docs: DataFrame, *, text: str = "text", documents: int
     t = docs[text]
     key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(t).alias("_h")]
     lines = cut(_lines(docs.select(*key, t.alias("_t")).filter("length(_t) > 0")), "lines")
-    found = lines.groupBy("template").agg(F.min("d").alias("least"), F.max("d").alias("last"), F.count_if("new").alias("n"), F.max("short").alias("short"))
+    found = lines.groupBy("template").agg(F.min("d").alias("least"), F.max("d").alias("last"), F.count_if("new").alias("n"), F.max("short").alias("short"), F.count("*").alias("_n"))
     found = found.filter((F.col("least") < F.col("last")) & (F.col("n") >= documents + F.col("short").cast("int")))
-    # A table of its own, so that a template with very many lines can be split between tasks.
-    found = cut(found.select("template", "least"), "recurring")
-    gone = lines.select("d", "h", "line", "template", "new").hint("merge").join(found, "template").filter((F.col("d") > F.col("least")) | ~F.col("new"))
+    found = cut(found.select("template", "least", "_n"), "recurring")
+    gone = join_groups(lines.select("d", "h", "line", "template", "new"), found, ["template"], "_n", ["d", "h", "line"]).filter((F.col("d") > F.col("least")) | ~F.col("new"))
     gone = gone.groupBy("d", "h").agg(F.collect_set("line").alias("gone")).select(F.col("d").alias("_d"), F.col("h").alias("_h"), "gone")
     row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
     out = docs.select(*key, row).join(gone.hint("merge"), ["_d", "_h"], "left")
