@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.runtime import drop_path, new_path, prepare
+from treeloom.runtime import cut, drop_path, join_groups, new_path, prepare
 
 #: Compressed bytes after which a file is closed, html bytes of a range, and least payload bytes that a revisit
 #: may stand for.
@@ -84,8 +84,8 @@ def plan_revisits(pages: DataFrame) -> DataFrame:
     """page_id, payload_digest, refers_to of the rows whose payload an earlier page_id has. Without payloads."""
     html = F.coalesce(pages["html"], F.lit(""))
     p = pages.filter(F.octet_length(html) >= LEAST_REVISIT).select("page_id", F.sha2(html.cast("binary"), 256).alias("payload_digest"))
-    same = p.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return p.join(same, "payload_digest").filter(F.col("page_id") > F.col("refers_to")).select("page_id", "payload_digest", "refers_to").distinct()
+    same = p.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    return join_groups(p, cut(same, "same"), ["payload_digest"], "n", ["page_id"]).filter(F.col("page_id") > F.col("refers_to")).select("page_id", "payload_digest", "refers_to").distinct()
 
 
 def range_bounds(pages: DataFrame, ranges: int, n: int) -> np.ndarray:
