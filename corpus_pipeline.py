@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from treeloom.llm import decontamination, lang_id, line_dedup, near_dup, packing
 from treeloom.llm.queries import BYTE_BPE, PIECES, read, tokenizer_path
-from treeloom.runtime import cut, new_path
+from treeloom.runtime import cut, join_groups, new_path
 
 #: SQL can't express the language model, the tokenizer or the packing; tests/llm holds each stage against brute
 #: force on its own input.
@@ -58,11 +58,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group stays, that with the least doc_id (null ones come last): five words, similarity 0.8."""
     docs, row = _with_rows(docs)
     of = near_dup.link_components(docs, key=row, words=5, percent=80).select(F.col("doc_id").alias("r"), "component_id")
-    several = of.groupBy("component_id").count().filter("count > 1").select("component_id")
-    members = of.hint("merge").join(cut(several, "groups"), "component_id").join(docs.select(F.col(row).alias("r"), docs["doc_id"].alias("d")).hint("merge"), "r")
+    several = cut(of.groupBy("component_id").count().filter("count > 1"), "groups")
+    members = join_groups(of, several, ["component_id"], "count", ["r"]).join(docs.select(F.col(row).alias("r"), docs["doc_id"].alias("d")).hint("merge"), "r")
     members = cut(members, "members")
-    least = cut(members.groupBy("component_id").agg(F.min(F.struct(F.col("d").isNull(), "d", "r")).alias("least")), "least")
-    gone = members.hint("merge").join(least, "component_id").filter(F.col("r") != F.col("least.r")).select(F.col("r").alias(row))
+    least = cut(members.groupBy("component_id").agg(F.min(F.struct(F.col("d").isNull(), "d", "r")).alias("least"), F.count("*").alias("_n")), "least")
+    gone = join_groups(members, least, ["component_id"], "_n", ["r"]).filter(F.col("r") != F.col("least.r")).select(F.col("r").alias(row))
     return docs.join(gone.hint("merge"), row, "left_anti").drop(row)
 
 
