@@ -15,7 +15,16 @@ def test_hot_values_are_dealt(spark, monkeypatch):
     want = rows.join(groups.drop("n"), "k")
     assert sorted(got.collect()) == sorted(want.collect())
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_one_hash_slices_alike(spark, monkeypatch):
+    """A key of two columns, one of them null in places, and values hot to different degrees."""
+    monkeypatch.setattr(runtime, "SLICES", 50)
+    rows = spark.range(2000).select(F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 30).alias("x"), (F.col("id") % 3).alias("y"), "id")
+    groups = cut(rows.filter("x is not null").groupBy("x", "y").agg(F.count("*").alias("n"), F.max("id").alias("most")), "groups")
+    got = join_groups(rows, groups, ["x", "y"], "n", ["id"])
+    assert sorted(got.collect()) == sorted(rows.join(groups.drop("n"), ["x", "y"]).collect())
 
 
 def test_empty_groups(spark):

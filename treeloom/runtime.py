@@ -76,14 +76,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     """rows joined with groups, a table with one row for each value of keys and the number of its rows in column
     size, which goes. A value that holds more than one part in SLICES of the rows that groups counts is dealt to
     slices by a hash of deal, columns of rows, so that no value burdens a task. There are fewer than SLICES such
-    values, whatever the tables' size, so they are broadcast; all else meets in a merge join.
+    values, whatever the tables' size: the hashes of their keys are part of the plan, and both sides tell by them
+    which values have slices. A value with the hash of a hot one is sliced like it, which changes no result.
     """
     total = groups.agg(F.sum(size)).first()[0] or 1
     slices = F.ceil(F.col(size) * SLICES / F.lit(total))
-    hot = groups.filter(F.col(size) * SLICES > total).select(*keys, slices.alias("_slices"))
-    slice_ = F.when(F.col("_slices").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*deal), F.col("_slices")))
-    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_slice", slice_).drop("_slices")
-    groups = groups.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(slices, F.lit(1)) - 1))).drop(size)
+    of_number: dict[int, list[int]] = {}
+    for key, n in groups.filter(F.col(size) * SLICES > total).select(F.xxhash64(*keys), slices).collect():
+        of_number.setdefault(1 << (int(n) - 1).bit_length(), []).append(key)
+    number = F.lit(1)
+    for n, hashes in sorted(of_number.items()):
+        number = F.when(F.col("_key").isin(hashes), F.lit(n)).otherwise(number)
+    number = number.cast("long")
+    rows = rows.withColumn("_key", F.xxhash64(*keys)).withColumn("_slice", F.pmod(F.xxhash64(*deal), number)).drop("_key")
+    groups = groups.withColumn("_key", F.xxhash64(*keys)).withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), number - 1))).drop(size, "_key")
     return rows.hint("merge").join(groups, [*keys, "_slice"], how).drop("_slice")
 
 
