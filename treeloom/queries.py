@@ -426,9 +426,13 @@ def blake3_docs(spark, sf_dir):
 
 
 def format_bytes(spark, sf_dir):
-    n = (F.col("o_orderkey") * F.col("o_orderkey") * 37 * F.element_at(F.array(*[F.lit(10**k) for k in (0, 3, 6)]), (F.col("o_orderkey") % 3 + 1).cast("int")) - F.when(F.col("o_orderkey") % 7 == 0, 10**9).otherwise(0)).alias("n")
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", n)
-    return rows.select("o_orderkey", "n", units.format_bytes_column(F.col("n")).alias("said"), units.format_percent_column(F.col("o_orderkey") % 100, F.col("o_orderkey") % 150).alias("share"))
+    """n is null where the number passes a long (and the SQL fails); ``said`` is right there too."""
+    key = F.col("o_orderkey").cast("decimal(20,0)")
+    n = key * key * 37 * F.element_at(F.array(*[F.lit(10**k) for k in (0, 3, 6)]), (F.col("o_orderkey") % 3 + 1).cast("int")) - F.when(F.col("o_orderkey") % 7 == 0, 10**9).otherwise(0)
+    # Numbers of 32 digits are an error: digits that a double in PiB can't hold would be said wrong.
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", n.cast("decimal(31,0)").alias("whole"))
+    fits = F.col("whole").between(-(2**63), 2**63 - 1)  # try_cast does the same at many times the cost
+    return rows.select("o_orderkey", F.when(fits, F.col("whole").cast("long")).alias("n"), units.format_bytes_column(F.col("whole")).alias("said"), units.format_percent_column(F.col("o_orderkey") % 100, F.col("o_orderkey") % 150).alias("share"))
 
 
 SIZES = ["", "k", "K", "kb", "KiB", " MiB", "m", "mb", "g", "GB", "gib", "b", "x", "t", "tb", "tib", "kk", "-"]
